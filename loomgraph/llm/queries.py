@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import encoding, packing, splitting, survivors
+from loomgraph.llm import encoding, packing, pairs, splitting, survivors
 from loomgraph.sources.tables import table
 
 
@@ -35,6 +35,11 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.in_document(_pieces(spark, root), units, table(spark, root, "documents", "doc_id", "text"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    q = table(spark, root, "questions", "id", "question", "answer")
+    return pairs.defective_pairs(pairs.answer_pairs(q, table(spark, root, "search_results", "id", "question_id", "answer")))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, root, "documents", "doc_id", "text"), encoding.vocabulary_path())
 
@@ -45,7 +50,7 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 _STAND_INS = ", ".join("'" + x + "'" for x in survivors.STAND_INS)
