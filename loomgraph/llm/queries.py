@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import encoding, packing, pairs, splitting, survivors
+from loomgraph.llm import abuse, encoding, packing, pairs, splitting, survivors
 from loomgraph.sources.tables import table
 
 
@@ -49,8 +49,24 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_containers(sizes.select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("n")), 2048).withColumnRenamed("item_id", "doc_id")
 
 
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.score_documents(table(spark, root, "documents", "doc_id", "source", "text"), table(spark, root, "review_labels", "doc_id", "toxic"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root).where("flagged").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root)
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates_by_source(_scored(spark, root))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 _STAND_INS = ", ".join("'" + x + "'" for x in survivors.STAND_INS)
