@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import abuse, encoding, packing, pairs, splitting, survivors
+from loomgraph.llm import abuse, encoding, names, packing, pairs, splitting, survivors
 from loomgraph.sources.tables import table
 
 
@@ -40,6 +40,18 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.defective_pairs(pairs.answer_pairs(q, table(spark, root, "search_results", "id", "question_id", "answer")))
 
 
+def _variants(spark: SparkSession, root: str) -> DataFrame:
+    return names.link_variants(table(spark, root, "entities", "entity_id", "name", "type", "frequency"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.linked_pairs(_variants(spark, root))
+
+
+def p6_links(spark: SparkSession, root: str) -> DataFrame:
+    return _variants(spark, root)
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, root, "documents", "doc_id", "text"), encoding.vocabulary_path())
 
@@ -66,7 +78,7 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+    return {"p1_found": p1_found, "p1_golden": p1_golden, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_links": p6_links, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 _STAND_INS = ", ".join("'" + x + "'" for x in survivors.STAND_INS)
