@@ -194,7 +194,9 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     f1[np.append(s[1:] == s[:-1], False)] = 0
     k = int(np.flatnonzero(f1 >= f1.max() - 0.003)[0])
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
+    best = float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
+    ordinary = scores[labels == 0]
+    return max(best, float(np.quantile(ordinary, 0.95))) if len(ordinary) else best  # few verdicts are wrong; a small sample must not flag all
 
 
 def _leaning(bad: Counter, good: Counter, rate: float) -> set:
