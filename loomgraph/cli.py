@@ -1,0 +1,39 @@
+"""Command line: index a folder of documents, ask an index."""
+
+from __future__ import annotations
+
+import argparse
+
+from loomgraph.operators.graph import format_table
+from loomgraph.plans.pipeline import ask, build_index
+from loomgraph.session import build_session
+from loomgraph.sources.files import IndexConfig, load_documents, load_index, save_index
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = argparse.ArgumentParser(prog="loomgraph")
+    sub = p.add_subparsers(dest="command", required=True)
+    i = sub.add_parser("index")
+    i.add_argument("--input", required=True)
+    i.add_argument("--pattern", default="*.md")
+    i.add_argument("--gazetteer", required=True, help="Parquet with name and type")
+    i.add_argument("--output", required=True)
+    i.add_argument("--chunk-size", type=int, default=300)
+    i.add_argument("--overlap", type=int, default=50)
+    q = sub.add_parser("query")
+    q.add_argument("--index", required=True)
+    q.add_argument("--top-k", type=int, default=5)
+    q.add_argument("question")
+    args = p.parse_args(argv)
+    spark = build_session()
+    if args.command == "index":
+        config = IndexConfig(chunk_size=args.chunk_size, overlap=args.overlap)
+        save_index(build_index(load_documents(spark, args.input, args.pattern), spark.read.parquet(args.gazetteer), config), args.output)
+        return 0
+    rows = ask(load_index(spark, args.index), args.question, args.top_k).orderBy("rank").collect()
+    print(format_table("Sources", ["id", "text"], [[r["unit_id"], r["text"]] for r in rows]))
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -111,7 +111,9 @@ def parse_claims(spark, root):
 
 def _mentions(spark, root):
     sents = extraction.unit_sentences(table(spark, root, "text_units", "id", "text").distinct())
-    return sents, extraction.gazetteer_mentions(sents, table(spark, root, "gazetteer", "name", "type"))
+    known = table(spark, root, "gazetteer", "name", "type").unionByName(table(spark, root, "entities", "name", "type"))
+    known = known.select("name", F.upper(F.coalesce("type", F.lit(""))).alias("type"))
+    return sents, extraction.gazetteer_mentions(sents, known)
 
 
 def gazetteer_mentions(spark, root):
@@ -164,7 +166,7 @@ s0 as (select unit_id, string_split(regexp_replace(regexp_replace(t, '([.!?])(\s
 s1 as (select unit_id, list_filter(list_transform(l, lambda s: regexp_replace(replace(s, '․', '.'), '^[""" + SPACE + r"""]+|[""" + SPACE + r"""]+$', '', 'g')), lambda s: length(s) > 0) as l from s0),
 s2 as (select unit_id, unnest(l) as raw, unnest(range(len(l))) as sent from s1),
 s as (select unit_id, cast(sent as integer) as sent, regexp_replace(array_to_string(regexp_extract_all(replace(raw, '**', ''), '[^""" + SPACE + r"""]+'), ' '), '^[#*>\- ]+|[#*>\- ]+$', '', 'g') as sentence from s2),
-g as (select distinct name, type from gazetteer),
+g as (select distinct name, upper(coalesce(type, '')) as type from (select name, type from gazetteer union all select name, type from entities) where len(regexp_extract_all(name, '[^\s.,;:!?()"'']+')) > 0),
 m as (select unit_id, sent, name, type, instr(sentence, name) as at from s, g where sentence <> '' and instr(sentence, name) > 0
       and (instr(sentence, name) = 1 or not regexp_matches(sentence[instr(sentence, name) - 1], '[A-Za-z0-9_.]')) and not regexp_matches(coalesce(sentence[instr(sentence, name) + length(name)], ''), '[A-Za-z0-9_]'))
 """
@@ -212,6 +214,15 @@ def oracles() -> dict[str, str]:
               regexp_replace(regexp_replace(target, '[()\n]', ' ', 'g'), '^\s*"*''*\s*|\s*''*"*\s*$', '', 'g') as t, regexp_replace(relation, '^\s*"*''*\s*|\s*''*"*\s*$', '', 'g') as r, valid_from, valid_to from c)
             select fact_id as row_id, upper(s) as subject, upper(t) as object, upper(r) as type, 'TRUE' as status, strftime(valid_from, '%Y-%m-%d') as start_date, strftime(valid_to, '%Y-%m-%d') as end_date, 'claim' as description, 'text' as source_text from b""",
         "gazetteer_mentions": _SENTS + "select unit_id, name, type, count(*) as n_sentences from m group by all",
+        "cooccurrence_edges": _SENTS + rf""", d as (select distinct unit_id, sent, m."at", m.name from m), k as (select *, row_number() over (partition by unit_id, sent order by "at", name) as pos from d),
+            pp as (select unit_id, sent, upper(a.name) as source, upper(b.name) as target, a."at" as x, b."at" as y, length(a.name) as len from k a join k b using (unit_id, sent) where a.pos < b.pos and b.pos <= 5),
+            f as (select * from pp where not list_has_all(string_split(target, ' '), string_split(source, ' ')) and not list_has_all(string_split(source, ' '), string_split(target, ' ')))
+            select source, target, max(least(10, 2 + case when regexp_matches(substr(sentence, x, y - x + 1), '{extraction.CUES}') then 6 else 0 end + case when y - (x + len) < 40 then 1 else 0 end)) as strength, count(*) as n from f join s using (unit_id, sent) group by all""",
+        "dated_claims": _SENTS + rf""", k as (select *, row_number() over (partition by unit_id, sent order by "at", name) as pos from (select distinct unit_id, sent, m."at", m.name from m)),
+            c as (select s.unit_id, s.sent, sentence, a.name as first, b.name as second, regexp_extract(sentence, '\b(?:({'|'.join(extraction.MONTHS)})\s+)?(20\d\d)\b', 0) as found from s join k a on a.unit_id = s.unit_id and a.sent = s.sent and a.pos = 1 left join k b on b.unit_id = s.unit_id and b.sent = s.sent and b.pos = 2)
+            select unit_id, sent, upper(first) as subject, upper(coalesce(second, 'NONE')) as object, case when regexp_matches(sentence, 'acquir') then 'ACQUISITION' when regexp_matches(sentence, 'invest|raise|Series') then 'FUNDING'
+              when regexp_matches(sentence, 'CTO|CEO|chief|Chief|director|Director') then 'LEADERSHIP' when regexp_matches(sentence, 'suppl') then 'SUPPLY' else 'EVENT' end as type,
+              regexp_extract(found, '20\d\d', 0) || '-' || lpad(cast(greatest(1, coalesce(list_position({extraction.MONTHS!r}, regexp_extract(found, '^[A-Za-z]+', 0)), 1)) as varchar), 2, '0') || '-01' as start_date from c where found <> ''""",
         "gleaning_missing": """with r as (select distinct rel_id, source, target, strength from relationships), f as (select distinct source, target from r where strength >= 5)
             select source, count(*) as n_missing from r where not exists (select 1 from f where f.source = r.source and f.target = r.target) group by source""",
     }
