@@ -14,13 +14,16 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return (X.normalize_answer(prediction) == X.normalize_answer(gold)).cast("double")
 
 
+def answer_words(c: Column) -> Column:
+    """The words of a normalised answer, in order; compute it as a column before token_f1, so that it isn't repeated per word."""
+    return F.filter(F.array_sort(F.split(X.normalize_answer(c), " ")), lambda w: w != "")
+
+
 def token_f1(prediction: Column, gold: Column) -> Column:
-    """F1 of the words as multisets; 0 if either has none."""
-    p, g = F.array_sort(F.split(X.normalize_answer(prediction), " ")), F.array_sort(F.split(X.normalize_answer(gold), " "))
-    p, g = F.filter(p, lambda w: w != ""), F.filter(g, lambda w: w != "")
+    """F1 of two word lists (answer_words) as multisets; 0 if either has none."""
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
-    return F.when(common > 0, 2.0 * common / (F.size(p) + F.size(g))).otherwise(0.0)
+    common = F.aggregate(F.array_distinct(prediction), F.lit(0), lambda n, w: n + F.least(count(prediction, w), count(gold, w)))
+    return F.when(common > 0, 2.0 * common / (F.size(prediction) + F.size(gold))).otherwise(0.0)
 
 
 def context_recall(retrieved: Column, supporting: Column) -> Column:
@@ -34,8 +37,10 @@ def scored_answers(questions: DataFrame, results: DataFrame) -> DataFrame:
     """Rows (id, type, system, exact_match, token_f1, context_recall) of results with the question they answer."""
     q = questions.select(F.col("id").alias("question_id"), "type", F.coalesce("answer", F.lit("")).alias("gold"), "supporting_docs").dropDuplicates(["question_id"])
     r = results.select("id", "question_id", F.col("method").alias("system"), F.coalesce("answer", F.lit("")).alias("answer"), "sources").dropDuplicates(["id"])
-    return r.join(q, "question_id").select(
-        "id", "type", "system", exact_match(F.col("answer"), F.col("gold")).alias("exact_match"), token_f1(F.col("answer"), F.col("gold")).alias("token_f1"),
+    q = q.withColumn("gold_words", answer_words(F.col("gold")))
+    words = r.withColumn("words", answer_words(F.col("answer"))).join(q, "question_id")
+    return words.select(
+        "id", "type", "system", exact_match(F.col("answer"), F.col("gold")).alias("exact_match"), token_f1(F.col("words"), F.col("gold_words")).alias("token_f1"),
         context_recall(F.col("sources"), F.col("supporting_docs")).alias("context_recall"),
     )
 
