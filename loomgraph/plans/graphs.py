@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import evaluation, graph, ranking, retrieval, search, temporal, walks
+from loomgraph.operators import answers, evaluation, graph, ranking, retrieval, search, temporal, walks
 from loomgraph.plans.texts import SPACE, terms_sql, tokens_sql
 from loomgraph.sources.tables import table
 
@@ -387,9 +387,31 @@ def questions_answered(spark, root):
     return ranking.best_of(scored, ["id"], [F.desc("score"), F.col("s")], 5).select("id", F.md5("s").alias("sentence_md5"), "score", "rank")
 
 
+def global_answers(spark, root):
+    r, q = _reports(spark, root), _queries(spark, root)
+    top = r.where("level = 0")
+    return answers.reduce_points(answers.map_points(q, top), q, answers.report_batches(top, 100))
+
+
+def drift_follow_ups(spark, root):
+    q = _queries(spark, root)
+    best = ranking.best_of(answers.map_points(q, _reports(spark, root), 1), ["query_id"], [F.desc("score"), F.col("id")], 5)
+    return answers.follow_ups(q, _nodes(spark, root).select("name"), best.select("query_id", F.col("point").alias("content")))
+
+
+def extractive_summaries(spark, root):
+    d = table(spark, root, "text_units", "id", "text").dropDuplicates(["id"])
+    return d.select("id", answers.extractive_summary(X.sentences(F.coalesce("text", F.lit(""))), 60).alias("summary"))
+
+
+def substituted_context(spark, root):
+    m = _members(spark, root).where("level = 1").select("community", "parent", "name")
+    return answers.substituted_context(_edges(spark, root), m, _reports(spark, root).where("level = 1").select("id", "content"), 200)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        node_merge, edge_merge, degree_rank, combined_degree, canonical_rewrite, alias_by_token_subset, edit_similarity, neighbourhood, triples_text, table_text, node_link_json, cypher_export,
+        global_answers, drift_follow_ups, extractive_summaries, substituted_context, node_merge, edge_merge, degree_rank, combined_degree, canonical_rewrite, alias_by_token_subset, edit_similarity, neighbourhood, triples_text, table_text, node_link_json, cypher_export,
         modularity_by_type, louvain_partition, community_hierarchy, community_context, community_reports, reports_at_level, map_scores, dynamic_selection,
         cosine_topk, cosine_topk_batch, vector_append, hashed_vectors_md5, hashed_vectors_blake, bm25_topk, rrf_fusion, hybrid_retrieval, basic_context_budget,
         query_entities, local_edges_ranked, local_units_ranked, dual_level_edges, keyword_split, rank_prizes, pcst_subgraph, ppr_fixed_rounds, passage_rank, seed_nodes,

@@ -167,3 +167,22 @@ def test_cosine_ties_and_blocks(spark, monkeypatch):
     assert search.cosine_top_k(v.withColumnRenamed("id", "query_id"), v, 3).orderBy("query_id", "rank").collect() == one
     assert [r.id for r in one if r.query_id == 1][:2] == [0, 1]
     assert search.cosine_top_k(v.limit(0).withColumnRenamed("id", "query_id"), v, 3).count() == 0
+
+
+def test_summary_skips_what_does_not_fit(spark):
+    from loomgraph.operators.answers import extractive_summary
+
+    d = spark.createDataFrame([(["One two.", "one TWO.", "a b c d e f g.", "Three four."],), ([],)], "s array<string>")
+    assert [r[0] for r in d.select(extractive_summary(F.col("s"), 8)).collect()] == ["One two. Three four.", ""]
+
+
+def test_report_batches_and_answers(spark):
+    from loomgraph.operators import answers
+
+    r = spark.createDataFrame([(f"r{k}", f"tide gauge report number {k} about cables" + " x" * k) for k in range(30)], "id string, content string")
+    b = answers.report_batches(r, 40, width=2)
+    sizes = b.join(r, "id").groupBy("batch").agg(F.sum(X.count_tokens(F.col("content"))).alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(x.n for x in sizes) == 30 and all(x.t <= 40 or x.n == 1 for x in sizes)
+    q = spark.createDataFrame([("q1", "Where is the tide gauge?"), ("q2", "zebra"), ("q3", "main themes")], "query_id string, text string")
+    got = {x.query_id: x for x in answers.reduce_points(answers.map_points(q, r), q, b).collect()}
+    assert got["q1"].answer.count("\n- ") == 8 and got["q2"].answer == answers.NO_DATA and got["q3"].n_sources == 30
