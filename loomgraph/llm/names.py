@@ -54,6 +54,10 @@ _NEAR = {frozenset((r[k], r[k + 1])) for r in _ROWS for k in range(len(r) - 1)}
 _NEAR |= {frozenset((a, b)) for up, low in zip(_ROWS, _ROWS[1:]) for k, b in enumerate(low) for a in (up[k : k + 2] if up is _ROWS[0] else up[k : k + 2])}
 
 
+#: Ranks from here on are those of full readings.
+FULL = 500.0
+
+
 def fold(name: str) -> str:
     t = unicodedata.normalize("NFKD", re.sub(r"([a-zà-ÿ])([A-ZÀ-Ý])", r"\1 \2", name))
     t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower().replace("’", "'").replace("ß", "ss")
@@ -261,9 +265,20 @@ def _full(kind: str, first: str, second: str) -> bool:
     return kind != "org" or bool(first and second) and not first.endswith(".")
 
 
-def _neighbours(block: list[tuple]) -> list[tuple]:
+def _is_partial(key: str) -> bool:
+    """A block of short readings, in which full ones stand only as candidates: they meet each other in their own blocks.
+
+    Persons' blocks by initial are none, as given names with a typing error meet the right ones there.
+    """
+    kind, qualifier = key.split("|")[:2]
+    return qualifier == "*" or kind == "org" and qualifier[:2] in ("i:", "f:", "s:")
+
+
+def _neighbours(block: list[tuple], key: str) -> list[tuple]:
     """Pairs (sid, other sid) of spellings that one typing error turns into each other, in both directions."""
     out = []
+    if _is_partial(key):
+        block = [r for r in block if r[9] < FULL]  # a short and a full reading are never neighbours
     for k, x in enumerate(block):
         for y in block[:k]:
             if x[2] != y[2] and min(qualifier_cost(x[1], x[3:6], y[3:6]), qualifier_cost(x[1], y[3:6], x[3:6])) <= 0.3 and one_edit(x[2], y[2]):
@@ -271,14 +286,17 @@ def _neighbours(block: list[tuple]) -> list[tuple]:
     return out
 
 
-def _attached(block: list[tuple]) -> list[tuple]:
+def _attached(block: list[tuple], key: str) -> list[tuple]:
     """The best attachment of each spelling of a block: (sid, parent, score, ambiguous). A row is (sid, kind, core, first, second, number, n, freq, odd, rank, degree)."""
     block.sort(key=lambda r: (-r[9], r[0]))
     if len({r[0] for r in block}) < 2:
         return []
     out = []
+    partial = _is_partial(key)
     for k in range(1, len(block)):
         x = block[k]
+        if partial and x[9] >= FULL:
+            continue
         quals, best, rival = (x[3], x[4], x[5]), None, -math.inf
         for y in block[:k]:
             q = qualifier_cost(x[1], quals, (y[3], y[4], y[5]))
@@ -338,7 +356,7 @@ def link_variants(entities: DataFrame) -> DataFrame:
             rows = []
             for sid, kind, core, first, second, number, n, freq, degree in b.itertuples(index=False, name=None):
                 odd = min(known.get(f"^{core}$"[k : k + 3], 0) for k in range(len(core))) < usual
-                rank = 1000.0 * _full(kind, first, second) + 10 * math.log(n + degree) + math.log1p(freq) - 8 * odd
+                rank = 2 * FULL * _full(kind, first, second) + 10 * math.log(n + degree) + math.log1p(freq) - 8 * odd
                 rows.extend((key, sid, kind, core, first, second, number, n, freq, odd, rank, degree) for key in _keys(kind, core, first, second, number))
             yield pd.DataFrame(rows, columns=["key", "sid", "kind", "core", "first", "second", "number", "n", "freq", "odd", "rank", "degree"])
 
@@ -352,11 +370,11 @@ def link_variants(entities: DataFrame) -> DataFrame:
                 for k, *row in b.itertuples(index=False, name=None):
                     if k != key:
                         if len(block) > 1:
-                            out.extend(step(block))
+                            out.extend(step(block, key))
                         key, block = k, []
                     block.append(tuple(row))
                 yield pd.DataFrame(out, columns=columns)
-            yield pd.DataFrame(step(block) if len(block) > 1 else [], columns=columns)
+            yield pd.DataFrame(step(block, key) if len(block) > 1 else [], columns=columns)
 
         return run
 
