@@ -13,8 +13,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +79,24 @@ PLACEHOLDERS = {
     "answer", "final answer", "the answer", "a", "response", "réponse", "respuesta", "antwort", "output", "result", "réponse finale", "respuesta final", "sin respuesta", "keine antwort", "sans réponse", "pending", "insert answer here", "your answer here",
 }
 
+#: Share of an answer that must stand in the question.
+COPIED = 0.8
+
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‹[^›]*›")
 _LABEL = re.compile(r"^\s*[\W_]*(final answer|the answer is|the answer|answer|response|réponse finale|réponse|respuesta final|respuesta|antwort|a|r|output)\s*[:：\-–—]+[\W_]*$", re.I)
 _END = re.compile(r"[.!?。！？؟;]$|[.!?][\"'»”’)\]]+$")
 _FADES = re.compile(r"(\.\.\.|…|\[\s*(…|\.\.\.|cut|truncated)\s*\])[\"'»”’)\]*_\s]*$")
 _TITLES = {"dr.", "mr.", "mrs.", "ms.", "prof.", "capt.", "st.", "e.g.", "i.e.", "approx.", "p.", "z.b.", "sr.", "sra.", "mme.", "m.", "bzw."}
 _LIST = re.compile(r"^\s*(\d+[.)]|[-*•–])(\s+\S|$)")
+_FORMAT = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 
+@lru_cache(maxsize=1024)
 def plain(text: str) -> str:
     """Without emphasis marks, zero-width characters and outer white space."""
-    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    if not text.isascii():
+        text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
     return re.sub(r"\*\*|__|`+|^#+\s+", "", text).strip().strip("*").strip()
 
 
@@ -161,6 +169,11 @@ def copied(question: str, answer: str, least: int = 4) -> tuple[float, float]:
     q, a = _letters(question), _letters(answer)
     if not q or not a:
         return 0.0, 0.0
+    # matches of `least` characters or more that cover a share of the answer hold at least that share / `least` of its grams
+    grams = {q[k : k + least] for k in range(len(q) - least + 1)}
+    shared = sum(a[k : k + least] in grams for k in range(len(a) - least + 1))
+    if shared * least < COPIED * len(a):
+        return shared * least / len(a), 0.0
     return SuffixAutomaton(q).coverage(a, least) / len(a), SuffixAutomaton(a).coverage(q, least) / len(q)
 
 
@@ -169,7 +182,7 @@ def is_copy(question: str, answer: str) -> bool:
     if len(answer) > 1.8 * len(question) + 20:
         return False
     of_answer, of_question = copied(question, answer)
-    return of_answer >= 0.8 and of_question >= 0.75
+    return of_answer >= COPIED and of_question >= 0.75
 
 
 def _scripts(text: str) -> Counter:
@@ -208,6 +221,7 @@ def language_votes(text: str, lexicon: dict[str, list[tuple[str, float]]] | None
     return votes, cast
 
 
+@lru_cache(maxsize=4096)
 def question_language(question: str | None) -> str | None:
     """The language with the most votes; None where none leads."""
     if not question:
@@ -223,7 +237,7 @@ def other_language(question: str, answer: str, lexicon: dict) -> bool:
     asked = question_language(question)
     if asked is None:
         return False
-    scripts = _scripts(_QUOTED.sub(" ", answer))
+    scripts = {} if answer.isascii() else _scripts(_QUOTED.sub(" ", answer))
     if scripts and scripts.get("LATIN", 0) < 0.5 * sum(scripts.values()):
         own = _scripts(question)
         if own.get("LATIN", 0) >= 0.5 * sum(own.values()):
