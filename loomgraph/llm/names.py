@@ -2,13 +2,15 @@
 
 A name is read into its kind, its core word and what qualifies it (given name or initial, number, kind of place, the two
 words of an organisation). Equal readings are one spelling, with its rows and frequency as prior. Every spelling is
-compared with higher-ranked ones that share the start or the end of the core word and a qualifier: the posterior of a
-candidate adds the logarithm of its prior to the likelihood of the typing errors (neighbouring keys, swapped, doubled,
+compared with every higher-ranked one whose core word is within the accepted cost of typing errors, wherever they stand:
+cores meet in deletion neighbourhoods, and each core's spellings are compared with those of the cores near it. The posterior
+of a candidate adds the logarithm of its prior to the likelihood of the typing errors (neighbouring keys, swapped, doubled,
 lost and stray letters) and of the abbreviations that turn it into the variant. The spelling is attached to the maximum
 posterior, unless it is itself the better explanation: a spelling that is frequent, or whose letter triples look like those
 of other names, is more probably a name of its own. Attachments are followed to their roots by pointer jumping.
 
-Comparisons run over sorted blocks, one pass per partition; only the best attachment of a spelling leaves a block.
+Comparisons run over sorted blocks, one pass per partition: all candidates of a spelling stand in the block of its core, and
+only its best attachment leaves the block.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +59,8 @@ _NEAR |= {frozenset((a, b)) for up, low in zip(_ROWS, _ROWS[1:]) for k, b in enu
 
 #: Ranks from here on are those of full readings.
 FULL = 500.0
+#: Typing errors may cost up to so much.
+MOST = 2.7
 
 
 def fold(name: str) -> str:
@@ -204,27 +209,18 @@ def read_name(name: str, kind: str | None) -> tuple[str, str, str, str, str]:
     return kind, core, first, second, number
 
 
-def _keys(kind: str, core: str, first: str, second: str, number: str) -> list[str]:
-    """Blocks: a qualifier with the start and with the end of the core. Fuller readings also stand in the blocks of shorter ones."""
-    quals: list[str] = []
-    if kind == "person":
-        full = first and not first.endswith(".")
-        if full:
-            quals = [f"g:{g}" for g in first.split()]
-        quals += [f"i:{i}" for i in sorted({g[0] for g in first.split()})] if first else []
-        quals.append("*")
-    elif kind == "org":
-        if first and second and not first.endswith("."):
-            quals = [f"b:{first} {second}", f"f:{first}", f"s:{second}", f"i:{first[0]}{second[0]}"]
-        elif first.endswith("."):
-            quals = [f"i:{first[0]}{second[0]}"]
-        elif first or second:
-            quals = [f"f:{first}" if first else f"s:{second}"]
-        quals.append("*")
-    else:
-        quals = [f"q:{first}{number}"]
-    ends = {f"<{core[:4]}", f">{core[-4:]}"}
-    return [f"{kind}|{q}|{e}" for q in quals for e in sorted(ends)]
+def _near_keys(core: str) -> set[str]:
+    """Any two cores within `MOST` have one of these in common.
+
+    That cost allows two errors of any sort, so that the rest is the same without two letters each; or three that each swap
+    or double letters (0.9), which leaves the set of letters as it is. Lost letters at the very end may come on top, as
+    `typing_cost` stops only when no start of the other core is within the cost.
+    """
+    out = {"=" + "".join(sorted(set(core[:n]))) for n in range(max(1, len(core) - 2), len(core) + 1)}
+    for n in range(max(0, len(core) - 2), len(core) + 1):
+        for d in range(3):
+            out.update("".join(c) for c in combinations(core[:n], max(0, n - d)))
+    return out
 
 
 def qualifier_cost(kind: str, x: tuple[str, str, str], y: tuple[str, str, str]) -> float:
@@ -265,46 +261,34 @@ def _full(kind: str, first: str, second: str) -> bool:
     return kind != "org" or bool(first and second) and not first.endswith(".")
 
 
-def _is_partial(key: str) -> bool:
-    """A block of short readings, in which full ones stand only as candidates: they meet each other in their own blocks.
-
-    Persons' blocks by initial are none, as given names with a typing error meet the right ones there.
-    """
-    kind, qualifier = key.split("|")[:2]
-    return qualifier == "*" or kind == "org" and qualifier[:2] in ("i:", "f:", "s:")
-
-
-def _neighbours(block: list[tuple], key: str) -> list[tuple]:
-    """Pairs (sid, other sid) of spellings that one typing error turns into each other, in both directions."""
+def _neighbours(block: list[tuple], centre: str) -> list[tuple]:
+    """(sid, how many spellings one typing error turns into it) for the spellings whose core is `centre`."""
+    near = [y for y in block if y[2] != centre and one_edit(centre, y[2])]
     out = []
-    if _is_partial(key):
-        block = [r for r in block if r[9] < FULL]  # a short and a full reading are never neighbours
-    for k, x in enumerate(block):
-        for y in block[:k]:
-            if x[2] != y[2] and min(qualifier_cost(x[1], x[3:6], y[3:6]), qualifier_cost(x[1], y[3:6], x[3:6])) <= 0.3 and one_edit(x[2], y[2]):
-                out += [(x[0], y[0]), (y[0], x[0])]
+    for x in block:
+        if x[2] == centre:
+            n = sum(min(qualifier_cost(x[1], x[3:6], y[3:6]), qualifier_cost(x[1], y[3:6], x[3:6])) <= 0.3 for y in near)
+            if n:
+                out.append((x[0], n))
     return out
 
 
-def _attached(block: list[tuple], key: str) -> list[tuple]:
-    """The best attachment of each spelling of a block: (sid, parent, score, ambiguous). A row is (sid, kind, core, first, second, number, n, freq, odd, rank, degree)."""
+def _attached(block: list[tuple], centre: str) -> list[tuple]:
+    """The best attachment of each spelling whose core is `centre`: (sid, parent, ambiguous). A row is (sid, kind, core, first, second, number, n, freq, odd, rank, degree)."""
     block.sort(key=lambda r: (-r[9], r[0]))
-    if len({r[0] for r in block}) < 2:
-        return []
+    costs = {core: typing_cost(centre, core, MOST) for core in {r[2] for r in block}}
+    block = [r for r in block if costs[r[2]] < math.inf]
     out = []
-    partial = _is_partial(key)
     for k in range(1, len(block)):
         x = block[k]
-        if partial and x[9] >= FULL:
+        if x[2] != centre:
             continue
         quals, best, rival = (x[3], x[4], x[5]), None, -math.inf
         for y in block[:k]:
             q = qualifier_cost(x[1], quals, (y[3], y[4], y[5]))
             if q == math.inf:
                 continue
-            c = typing_cost(x[2], y[2], 2.7)
-            if c == math.inf:
-                continue
+            c = costs[y[2]]
             s = math.log(y[6] + y[10] + 0.2 * math.log1p(y[7])) - 3.0 * c - q
             own = 4.5 * math.log(x[6]) - (7.5 if x[8] else 5.0 if x[1] in ("person", "org") else 4.2) - (0.0 if _full(x[1], x[3], x[4]) else 2.0)
             if c > 0 and s <= own:
@@ -316,7 +300,7 @@ def _attached(block: list[tuple], key: str) -> list[tuple]:
             elif qualifier_cost(x[1], (y[3], y[4], y[5]), best[2]) == math.inf == qualifier_cost(x[1], best[2], (y[3], y[4], y[5])):
                 rival = max(rival, s)
         if best:
-            out.append((x[0], best[0], best[1], rival > best[1] - 0.9))
+            out.append((x[0], best[0], rival > best[1] - 0.9))
     return out
 
 
@@ -351,43 +335,54 @@ def link_variants(entities: DataFrame) -> DataFrame:
     known = {r["t"]: r["n"] for r in cores.mapInPandas(triples, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     usual = sum(known.values()) / max(1, len(known)) / 12 if known else 0.0
 
-    def block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 1000):  # bounds the keys held at once
+                part = b.iloc[k : k + 1000]
+                yield pd.DataFrame([(kind, core, key) for kind, core in zip(part["kind"], part["core"]) for key in _near_keys(core)], columns=["kind", "core", "key"])
+
+    kinds = spellings.select("kind", "core").distinct()
+    keyed = kinds.mapInPandas(near_keys, "kind string, core string, key string").select("kind", "core", F.xxhash64("kind", "key").alias("key"))
+    met = keyed.withColumnRenamed("core", "centre").join(keyed, ["kind", "key"]).where("centre <> core").select("kind", "centre", "core").distinct()
+    near = cut(met.unionByName(kinds.select("kind", F.col("core").alias("centre"), "core")))
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for sid, kind, core, first, second, number, n, freq, degree in b.itertuples(index=False, name=None):
                 odd = min(known.get(f"^{core}$"[k : k + 3], 0) for k in range(len(core))) < usual
                 rank = 2 * FULL * _full(kind, first, second) + 10 * math.log(n + degree) + math.log1p(freq) - 8 * odd
-                rows.extend((key, sid, kind, core, first, second, number, n, freq, odd, rank, degree) for key in _keys(kind, core, first, second, number))
-            yield pd.DataFrame(rows, columns=["key", "sid", "kind", "core", "first", "second", "number", "n", "freq", "odd", "rank", "degree"])
+                rows.append((sid, kind, core, first, second, number, n, freq, odd, rank, degree))
+            yield pd.DataFrame(rows, columns=columns)
 
-    schema = "key string, sid string, kind string, core string, first string, second string, number string, n bigint, freq bigint, odd boolean, rank double, degree bigint"
+    schema = "sid string, kind string, core string, first string, second string, number string, n bigint, freq bigint, odd boolean, rank double, degree bigint"
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
 
     def over_blocks(step, columns: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, block = None, []
             for b in batches:
                 out = []
-                for k, *row in b.itertuples(index=False, name=None):
-                    if k != key:
+                for kind, centre, *row in b.itertuples(index=False, name=None):
+                    if (kind, centre) != key:
                         if len(block) > 1:
-                            out.extend(step(block, key))
-                        key, block = k, []
-                    block.append(tuple(row))
+                            out.extend(step(block, key[1]))
+                        key, block = (kind, centre), []
+                    block.append((row[0], kind, *row[1:]))
                 yield pd.DataFrame(out, columns=columns)
-            yield pd.DataFrame(step(block, key) if len(block) > 1 else [], columns=columns)
+            yield pd.DataFrame(step(block, key[1]) if len(block) > 1 else [], columns=columns)
 
         return run
 
     def blocks(rows: DataFrame) -> DataFrame:
-        keyed = rows.select("sid", "kind", "core", "first", "second", "number", "n", "freq", "degree").mapInPandas(block_rows, schema)
-        return keyed.repartition("key").sortWithinPartitions("key")
-
-    near = blocks(spellings.withColumn("degree", F.lit(0).cast("bigint"))).mapInPandas(over_blocks(_neighbours, ["sid", "other"]), "sid string, other string")
-    degrees = near.distinct().groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = spellings.join(degrees, "sid", "left").fillna(0, ["degree"])
-    links = blocks(ranked).mapInPandas(over_blocks(_attached, ["sid", "parent", "score", "ambiguous"]), "sid string, parent string, score double, ambiguous boolean")
-    best = links.groupBy("sid").agg(F.max(F.struct("score", "parent")).alias("b"), F.max("ambiguous").alias("ambiguous")).where("not ambiguous")
-    parents = cut(best.select("sid", F.col("b.parent").alias("root")))
+        """For each core, its spellings and those of the cores near it."""
+        around = near.join(rows, ["kind", "core"]).select("kind", "centre", "sid", *[c for c in rows.columns if c not in ("sid", "kind")])
+        return around.repartition("kind", "centre").sortWithinPartitions("kind", "centre")
+
+    degrees = blocks(spellings.select(*columns[:6])).mapInPandas(over_blocks(_neighbours, ["sid", "degree"]), "sid string, degree bigint")
+    ranked = spellings.join(degrees, "sid", "left").fillna(0, ["degree"]).select(*columns[:8], "degree").mapInPandas(ranks, schema)
+    links = blocks(ranked).mapInPandas(over_blocks(_attached, ["sid", "root", "ambiguous"]), "sid string, root string, ambiguous boolean")
+    parents = cut(links.where("not ambiguous").select("sid", "root"))
     while True:  # pointer jumping: attachments lead up in rank, so there are no cycles and each round halves the depth
         up = parents.select(F.col("sid").alias("root"), F.col("root").alias("above"))
         jumped = cut(parents.join(up, "root", "left").select("sid", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
