@@ -179,8 +179,6 @@ def copied(question: str, answer: str, least: int = 4) -> tuple[float, float]:
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer only repeats the question, perhaps with slight changes: each covers nearly all of the other."""
-    if len(answer) > 1.8 * len(question) + 20:
-        return False
     of_answer, of_question = copied(question, answer)
     return of_answer >= COPIED and of_question >= 0.75
 

@@ -3,7 +3,7 @@
 import math
 import random
 
-from loomgraph.llm import names
+from loomgraph.llm import names, pairs
 
 
 def test_names_with_errors_in_both_ends(spark):
@@ -26,3 +26,10 @@ def test_every_core_within_the_cost_is_met():
             assert names._near_keys(x) & names._near_keys(y), (x, y)
             met, ends = met + 1, ends + (x[:4] == y[:4] or x[-4:] == y[-4:])
     assert met > 1000 and ends < met  # the starts and ends of cores alone miss some
+
+
+def test_repeated_question_is_a_copy():
+    q = "Which of the stations along the northern coast reported the longest outage of the tide gauge in March?"
+    for times in (1, 2, 3, 5):
+        assert pairs.is_copy(q, " ".join([q] + [q.lower().rstrip("?") + "."] * (times - 1)))
+    assert not pairs.is_copy(q, q + " The longest outage in March was at Low Reef, where a storm broke the cable and the spare had to come by ship from the south.")
