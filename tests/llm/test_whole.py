@@ -1,9 +1,10 @@
 """Cases that a shortcut once left out."""
 
+import datetime as dt
 import math
 import random
 
-from loomgraph.llm import names, pairs
+from loomgraph.llm import names, pairs, survivors
 
 
 def test_names_with_errors_in_both_ends(spark):
@@ -33,3 +34,29 @@ def test_repeated_question_is_a_copy():
     for times in (1, 2, 3, 5):
         assert pairs.is_copy(q, " ".join([q] + [q.lower().rstrip("?") + "."] * (times - 1)))
     assert not pairs.is_copy(q, q + " The longest outage in March was at Low Reef, where a storm broke the cable and the spare had to come by ship from the south.")
+
+
+def test_learned_edges_are_followed_to_the_last_value(spark):
+    def row(k, e, v, hour):
+        return (k, e, None, v, None, "a", None if hour is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour))
+
+    rows = []
+    for e in range(4):  # cadet, then mate, then master: cadet and master never follow each other directly
+        rows += [row(10 * e, e, "cadet", 1), row(10 * e + 1, e, "mate", 30), row(10 * e + 2, e, "master", 60)]
+    rows += [row(100, 50, "cadet", 5), row(101, 50, "mate", None), row(102, 50, "master", None)]  # through an unstamped value
+    rows += [row(110, 51, "cadet", None), row(111, 51, "mate", None)]  # no stamp at all
+    rows += [row(120, 52, "pilot", None), row(121, 52, "cook", None)]  # nothing learned
+    rows += [row(130, 53, "master", 5), row(131, 53, "mate", None)]
+    m = spark.createDataFrame(rows, "mention_id bigint, entity_id bigint, description string, type string, source_id string, extractor string, recorded_at timestamp_ntz")
+    ex = spark.createDataFrame([("a", "human", 5)], "extractor string, kind string, trust int")
+    got = {r.entity_id: (r.mention_id, r.value, r.how) for r in survivors.surviving_values(m, ex).collect() if r.entity_id >= 50}
+    assert got == {50: (102, "master", "learned"), 51: (111, "mate", "learned"), 52: (120, "pilot", "trust"), 53: (130, "master", "stamped")}
+
+
+def test_last_value():
+    ids = {v: k for k, v in enumerate("abcde")}
+    assert survivors.last_value(ids, [("a", "b"), ("a", "c"), ("b", "c")], "a") == "c"
+    assert survivors.last_value(ids, [("a", "b"), ("b", "a")], "a") is None  # a circle with the start
+    assert survivors.last_value(ids, [("a", "d"), ("d", "c"), ("c", "d")], "a") == "c"  # a circle after it
+    assert survivors.last_value(ids, [("b", "c")], "a") is None and survivors.last_value(ids, [], None) is None
+    assert survivors.last_value(ids, [("a", "b"), ("c", "d"), ("d", "e")], None) == "e"
