@@ -3,29 +3,40 @@
 Two zstandard dictionaries are trained on labelled documents: one on offending windows, one on ordinary text. A window of
 a document is the more suspect, the fewer bytes it takes with the first than with the second. As a verdict holds for a
 whole document, the offending windows are found in rounds: first those of offending documents that ordinary documents
-don't hold, then those that the dictionaries of the last round tell apart. The thresholds are calibrated on held-out
-labelled documents. Text is folded first: look-alike letters, digits and signs for letters, letters set apart, marks put
-between words; and words that are rare in the labelled documents, mostly names, become one sign.
-
-The labelled documents are a bounded sample (`MOST_OFFENDING`, `MOST_ORDINARY`, in hash order); every document of the
-corpus is scored whole.
+don't hold, then those that the dictionaries of the last round tell apart. Text is folded first: look-alike letters,
+digits and signs for letters, letters set apart, marks put between words; and words that are rare in the sample, mostly
+names, become one sign.
+
+The sample is bounded (`MOST_OFFENDING`, `MOST_ORDINARY`, in hash order). Where few documents were judged ordinary, ones
+without a verdict fill it up to `LEAST_ORDINARY`: nearly all of them are ordinary, and the rules that sort windows bear
+that some are not. The threshold is calibrated on judged documents that the model which scores them has not seen (`FOLDS` parts), but never
+lies below what a single word can gain. The models are fitted as tasks; every document of the corpus is scored whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample.
+#: Bounds of the sample of judged documents.
 MOST_OFFENDING = 4000
 MOST_ORDINARY = 8000
+#: Fewer judged ordinary documents are filled up to so many by documents without a verdict.
+LEAST_ORDINARY = 2000
+#: Documents of more code points are scored like any other, but no model is fitted on them; bounds the bytes of the sample.
+LONGEST_SAMPLED = 10_000
+#: Parts of the judged documents that are held out in turn.
+FOLDS = 4
 
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 10, 3
@@ -34,6 +45,8 @@ OFFENDING_BYTES, ORDINARY_BYTES = 112_640, 1_048_576
 LEVEL = 9
 #: Root of the length below which a window counts as long: few bytes more or less say nothing.
 SHORT = 7.0
+#: No threshold lies below: a single word that only one dictionary holds gains about 1, which is too little evidence.
+LEAST_GAIN = 1.5
 #: Windows whose gain a worker remembers; bounds its memory, never the result.
 REMEMBERED = 200_000
 
@@ -43,21 +56,27 @@ SIGNS = str.maketrans("0134578@$€!|+", "oieastbaseiit")
 _MARK = re.compile(r"<[^<>\n]{0,40}>|\[/?[a-z]{1,12}\]|&[a-z]{2,6};|&#\d+;", re.I)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){3,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[@$€]?[^\W_]+(?:[@$!|+*'’€]+[^\W_]+)*[$€]?|[^\W\d_]\*+")
+_FORMAT = regex.compile(r"\p{Cf}+")
+_ACCENT = regex.compile(r"[\p{Mn}\p{Mc}\p{Me}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[a-zA-Z]")
 _STOP = re.compile(r"[.!?…;:。！？]+[\"'»”’)\]*]*(?:\s+|$)|\n+|\s+[-–—]+\s+|[\"“”«»„]")
 
 
 def fold(text: str) -> str:
     """One spelling for disguised words: compatibility forms, look-alikes in mixed words, no marks, letters joined again, no accents."""
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    text = _MARK.sub(" ", text)
+    if not text.isascii():
+        text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
+    if "<" in text or "[" in text or "&" in text:
+        text = _MARK.sub(" ", text)
     text = _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), text)
     if not text.isascii():
-        text = re.sub(r"[^\W\d_]+", lambda m: m.group().translate(LOOKALIKES) if re.search(r"[a-zA-Z]", m.group()) and not m.group().isascii() else m.group(), text)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _LETTERS.sub(lambda m: m.group().translate(LOOKALIKES) if not m.group().isascii() and _LATIN.search(m.group()) else m.group(), text)
+        text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
     return text.lower().replace("ß", "ss")
 
 
+@lru_cache(maxsize=REMEMBERED)
 def _word(t: str) -> str:
     if any(c.isalpha() for c in t):
         if not t.isalpha():
@@ -100,17 +119,22 @@ class Folder:
     def masked(self, words: list[str]) -> list[str]:
         out: list[str] = []
         for w in words:
-            if "*" in w:
-                w = starred(w, self.by_shape)
-            if w in self.vocabulary:
-                out.append(w)
-            elif not out or out[-1] != "~":
-                out.append("~")
+            if w not in self.vocabulary:
+                if "*" in w:
+                    w = starred(w, self.by_shape)
+                if w not in self.vocabulary:
+                    if not out or out[-1] != "~":
+                        out.append("~")
+                    continue
+            out.append(w)
         return out
 
     def windows(self, text: str) -> list[str]:
+        return self.cut(segments(text))
+
+    def cut(self, parts: list[list[str]]) -> list[str]:
         found: dict[str, None] = {}
-        for words in segments(text):
+        for words in parts:
             m = self.masked(words)
             if len(m) <= WINDOW:
                 found[" ".join(m)] = None
@@ -199,9 +223,7 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     f = 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
     f[np.append(s[1:] == s[:-1], False)] = 0
     k = int(np.flatnonzero(f >= f.max() - 0.003)[0])
-    best = float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
-    ordinary = scores[labels == 0]
-    return max(best, float(np.quantile(ordinary, 0.95))) if len(ordinary) else best  # few verdicts are wrong; a small sample must not flag all
+    return max(LEAST_GAIN, float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k]))
 
 
 def _leaning(bad: Counter, good: Counter, rate: float) -> set:
@@ -240,40 +262,99 @@ def _fit(docs: list[list[str]], labels: list[int], vocabulary: list[str], rounds
         hard = sorted({*hard, *(w for w in ordinary if lean[w] == 0 and gain[w] > 0.3 * cut)})
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 2, folds: int = 2) -> Model:
-    """A model from labelled documents: trained on each part of them in turn for calibration, then on all."""
-    if not texts or len(set(labels)) < 2:
-        return Model(b"~", b"~", [], float("inf"))
+def words_of(text: str) -> tuple[list[list[str]], list[str], list[str]]:
+    """The segments of a text, and its words in small letters and with a capital one; not those that start a sentence."""
+    inside = re.findall(r"[^\W_],? ([^\W\d_]+)", text)
+    return segments(text), sorted({w for w in inside if w[0].islower()}), sorted({w.lower() for w in inside if w[0].isupper()})
+
+
+def windows_of(docs: list[tuple[list[list[str]], list[str], list[str]]], labels: list[int | None]) -> tuple[list[str], list[list[str]]]:
+    """(vocabulary, windows of each document). Words that are rare or mostly capitalised are left out, unless they lean to offending documents."""
     bad, good, small, large = Counter(), Counter(), Counter(), Counter()
-    for t, y in zip(texts, labels):
-        (bad if y else good).update({w for s in segments(t) for w in s if "*" not in w})
-        inside = re.findall(r"[^\W_],? ([^\W\d_]+)", t)  # not at the start of a sentence: names are capitalised there
-        small.update({w for w in inside if w[0].islower()})
-        large.update({w.lower() for w in inside if w[0].isupper()})
-    telling = _leaning(bad, good, sum(labels) / max(1, len(labels) - sum(labels)))
-    vocabulary = sorted(w for w in {*bad, *good} if bad[w] + good[w] >= 4 and len(w) < 30 and (w in telling or large[w] < 4 * (small[w] + 1)))
+    for (parts, low, up), y in zip(docs, labels):
+        (bad if y else good).update({w for s in parts for w in s if "*" not in w})
+        small.update(low)
+        large.update(up)
+    n = sum(map(bool, labels))
+    telling = _leaning(bad, good, n / max(1, len(labels) - n))
+    vocabulary = sorted(w for w in {*bad, *good} if bad[w] + good[w] >= 4 and len(w) < 30 and (w in telling and 2 * bad[w] > good[w] or large[w] < 4 * (small[w] + 1)))
     folder = Folder(set(vocabulary))
-    docs = [folder.windows(t) for t in texts]
-    held = np.zeros(len(texts))
-    for f in range(folds):
-        rest = [k for k in range(len(docs)) if k % folds != f]
-        if len({labels[k] for k in rest}) < 2:
-            continue
-        m = _fit([docs[k] for k in rest], [labels[k] for k in rest], vocabulary, rounds)
-        for k in range(f, len(docs), folds):
-            held[k] = max(m.gains(docs[k]), default=0.0)
-    model = _fit(docs, labels, vocabulary, rounds)
-    model.threshold = _best_threshold(held, np.asarray(labels))
+    return vocabulary, [folder.cut(parts) for parts, _, _ in docs]
+
+
+def fitted(docs: list[list[str]], labels: list[int | None], vocabulary: list[str], part: int, rounds: int = 2) -> tuple[Model, list[float]]:
+    """The model without the `part`-th of `FOLDS` parts of the judged documents, and the scores it gives to those; part -1 holds nothing out."""
+    held = {k for n, k in enumerate(k for k, y in enumerate(labels) if y is not None) if n % FOLDS == part}
+    rest = [k for k in range(len(docs)) if k not in held]
+    model = _fit([docs[k] for k in rest], [labels[k] or 0 for k in rest], vocabulary, rounds)
+    return model, [max(model.gains(docs[k]), default=0.0) for k in sorted(held)]
+
+
+def calibrated(model: Model, held: dict[int, list[float]], labels: list[int | None]) -> Model:
+    """The model with the threshold that suits the held-out scores, by part."""
+    judged = [y for y in labels if y is not None]
+    scores = np.zeros(len(judged))
+    for part, got in held.items():
+        scores[part::FOLDS] = got
+    model.threshold = _best_threshold(scores, np.asarray(judged))
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most_offending: int = MOST_OFFENDING, most_ordinary: int = MOST_ORDINARY) -> list[tuple[str, int]]:
-    """The bounded training sample: texts with a single verdict; null verdicts and documents with differing ones are left out."""
-    verdicts = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
+NOTHING = Model(b"~", b"~", [], float("inf"))
+
+
+def train(texts: list[str], labels: list[int | None]) -> Model:
+    """A model from judged documents (1, 0) and ones without a verdict (None), here and now."""
+    if len({*labels} - {None}) < 2:
+        return NOTHING
+    vocabulary, docs = windows_of([words_of(t) for t in texts], labels)
+    held = {f: fitted(docs, labels, vocabulary, f)[1] for f in range(FOLDS)}
+    return calibrated(fitted(docs, labels, vocabulary, -1)[0], held, labels)
+
+
+def sampled(documents: DataFrame, labels: DataFrame, most_offending: int = MOST_OFFENDING, most_ordinary: int = MOST_ORDINARY, least_ordinary: int = LEAST_ORDINARY) -> DataFrame:
+    """The bounded training sample (doc_id, text, y): documents with a single verdict, and null for ones without that fill it up.
+
+    Null verdicts don't count; documents with differing ones are left out.
+    """
+    verdicts = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
+    d = documents.select("doc_id", "text").where((F.col("text") != "") & (F.length("text") <= LONGEST_SAMPLED))
     order = F.xxhash64("doc_id")
-    picked = verdicts.where("hi = 1").orderBy(order, "doc_id").limit(most_offending).unionByName(verdicts.where("hi = 0").orderBy(order, "doc_id").limit(most_ordinary))
-    rows = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked.select("doc_id", "hi")), "doc_id").select("doc_id", "text", "hi").collect()
-    return [(r["text"], int(r["hi"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    one = verdicts.where("lo = hi").select("doc_id", F.col("hi").cast("int").alias("y"))
+    picked = one.where("y = 1").orderBy(order, "doc_id").limit(most_offending).unionByName(one.where("y = 0").orderBy(order, "doc_id").limit(most_ordinary))
+    known = d.join(F.broadcast(picked), "doc_id")
+    lacking = max(0, least_ordinary - one.where("y = 0").count())
+    if not lacking:
+        return known
+    other = d.select("doc_id").join(verdicts, "doc_id", "left_anti").orderBy(order, "doc_id").limit(lacking).select("doc_id", F.lit(None).cast("int").alias("y"))
+    return known.unionByName(d.join(F.broadcast(other), "doc_id"))
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """A model from the sample; its words are found, and the models fitted, by tasks."""
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, y, *words_of(t)) for i, t, y in zip(b["doc_id"], b["text"], b["y"])], columns=["doc_id", "y", "parts", "small", "large"])
+
+    rows = sampled(documents, labels).mapInPandas(words, "doc_id bigint, y int, parts array<array<string>>, small array<string>, large array<string>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    given = [r["y"] for r in rows]
+    if len({*given} - {None}) < 2:
+        warnings.warn("no verdicts of both kinds: no document can be flagged")
+        return NOTHING
+    vocabulary, docs = windows_of([(r["parts"], r["small"], r["large"]) for r in rows], given)
+    spark = documents.sparkSession
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in b["part"]:
+                model, held = fitted(docs, given, vocabulary, part)
+                yield pd.DataFrame([(part, held, *((model.offending, model.ordinary) if part < 0 else (None, None)))], columns=["part", "held", "offending", "ordinary"])
+
+    parts = spark.range(-1, FOLDS, 1, FOLDS + 1).select(F.col("id").cast("int").alias("part"))
+    got = {r["part"]: r for r in parts.mapInPandas(run, "part int, held array<double>, offending binary, ordinary binary").collect()}
+    model = Model(bytes(got[-1]["offending"]), bytes(got[-1]["ordinary"]), vocabulary, 0.0)
+    return calibrated(model, {f: got[f]["held"] for f in range(FOLDS)}, given)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,8 +364,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     exceeds the calibrated threshold. Null, empty and blank texts score 0 and are not flagged. Without verdicts of both
     kinds nothing is flagged. Texts are scored whole, whatever their length.
     """
-    sample = labelled_sample(documents, labels)
-    model = train([t for t, _ in sample], [y for _, y in sample])
+    model = fit(documents, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -233,6 +233,15 @@ def test_abuse_held_out(spark):
     assert abuse.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_abuse_with_few_verdicts(spark):
+    docs = [(t, y) for k, (t, y) in enumerate(_labelled(400, 3)) if k < 80 or not y or k % 20 == 0]  # verdicts are enriched in offending documents
+    frame = spark.createDataFrame([(k, t, "s") for k, (t, _) in enumerate(docs)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(k, y, "r") for k, (_, y) in enumerate(docs[:80])], "doc_id bigint, toxic int, reviewer string")
+    found = {r.doc_id for r in abuse.score_documents(frame, labels).where("flagged").collect()}
+    true = {k for k, (_, y) in enumerate(docs) if y}
+    assert len(found & true) >= 0.8 * len(true) and len(found & true) >= 0.95 * len(found)
+
+
 def test_folding():
     assert abuse.fold("p a t h e t i c") == "pathetic" and abuse.fold("brаindеad") == "braindead"
     assert abuse.segments("7H1GH$ @ND")[0][0] == "thighs" and abuse.fold("ex​plicit <|im_start|> é") == "explicit   e"
