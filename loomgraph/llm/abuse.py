@@ -334,15 +334,20 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from the sample; its words are found, and the models fitted, by tasks."""
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, y, *words_of(t)) for i, t, y in zip(b["doc_id"], b["text"], b["y"])], columns=["doc_id", "y", "parts", "small", "large"])
+            rows = []
+            for i, t, y in zip(b["doc_id"], b["text"], b["y"]):
+                parts, small, large = words_of(t)
+                rows.append((i, y, "\n".join(map(" ".join, parts)), " ".join(small), " ".join(large)))
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "parts", "small", "large"])
 
-    rows = sampled(documents, labels).mapInPandas(words, "doc_id bigint, y int, parts array<array<string>>, small array<string>, large array<string>").collect()
+    rows = sampled(documents, labels).mapInPandas(words, "doc_id bigint, y int, parts string, small string, large string").collect()
     rows.sort(key=lambda r: r["doc_id"])
     given = [r["y"] for r in rows]
     if len({*given} - {None}) < 2:
         warnings.warn("no verdicts of both kinds: no document can be flagged")
         return NOTHING
-    vocabulary, docs = windows_of([(r["parts"], r["small"], r["large"]) for r in rows], given)
+    vocabulary, docs = windows_of([([x.split() for x in r["parts"].splitlines()], r["small"].split(), r["large"].split()) for r in rows], given)
+    del rows
     spark = documents.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
