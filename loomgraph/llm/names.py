@@ -1,5 +1,9 @@
 """Variant spellings of names typed by people, by noisy-channel attribution.
 
+Which words qualify names is learned from all rows: in an organisation, vessel or place a word that stands beside many
+different rarer words is a qualifier; in a person the two parts are told apart by where each stands elsewhere. Short forms
+are read as the qualifiers of the same place in the name that they can abbreviate, all of them if there are several.
+
 A name is read into its kind, its core word and what qualifies it (given name or initial, number, kind of place, the two
 words of an organisation). Equal readings are one spelling, with its rows and frequency as prior. Every spelling is
 compared with every higher-ranked one whose core word is within the accepted cost of typing errors, wherever they stand:
@@ -31,23 +35,18 @@ from loomgraph.session import cut
 # Spellings of the kinds of things.
 KINDS = {"person": "person", "per": "person", "organization": "org", "organisation": "org", "org": "org", "company": "org", "project": "project", "programme": "project", "program": "project",
          "vessel": "vessel", "ship": "vessel", "boat": "vessel", "location": "place", "place": "place", "geo": "place", "gpe": "place", "loc": "place"}
-# Words of names and their abbreviations.
-PLACES = {"reef": "reef", "rf": "reef", "island": "island", "is": "island", "isl": "island", "harbour": "harbour", "harbor": "harbour", "hbr": "harbour", "sound": "sound", "snd": "sound", "point": "point", "pt": "point",
-          "bay": "bay", "strait": "strait", "glacier": "glacier", "shelf": "shelf", "port": "port", "cape": "cape", "bank": "bank"}
-FIELDS = {"alpine": "alpine", "alp": "alpine", "polar": "polar", "pol": "polar", "marine": "marine", "mar": "marine", "coastal": "coastal", "cstl": "coastal", "regional": "regional", "reg": "regional",
-          "hydraulic": "hydraulic", "hydr": "hydraulic", "acoustic": "acoustic", "acoust": "acoustic", "estuary": "estuary", "est": "estuary"}
-BODIES = {"foundation": "foundation", "fdn": "foundation", "institute": "institute", "inst": "institute", "university": "university", "univ": "university", "company": "company", "co": "company",
-          "holdings": "holdings", "hldgs": "holdings", "instruments": "instruments", "instr": "instruments", "laboratory": "laboratory", "lab": "laboratory", "department": "department", "dept": "department",
-          "association": "association", "assoc": "association", "council": "council", "union": "union", "college": "college", "authority": "authority", "exchange": "exchange"}
+# Common English short forms of given names.
 NICKNAMES = {
-    "ronnie": "veronica", "pippa": "philippa", "gabi": "gabrielle", "gabby": "gabrielle", "sue": "susannah", "susie": "susannah", "vik": "viktor", "vic": "viktor", "matt": "matthias", "izzy": "isidore", "nick": "nicholas", "nico": "nicholas",
-    "fran": "francesca", "lucy": "lucinda", "cindy": "lucinda", "becky": "rebecca", "becca": "rebecca", "tomek": "tomasz", "tom": "tomasz", "sam": "samuel", "sammy": "samuel", "len": "leonard", "lenny": "leonard", "leo": "leonard", "deb": "deborah", "debbie": "deborah",
-    "harry": "harold", "hal": "harold", "fred": "frederick", "freddie": "frederick", "jon": "jonathan", "jonny": "jonathan", "theo": "theodore", "jo": "josephine", "josie": "josephine", "chris": "christopher", "kit": "christopher", "trish": "patricia",
-    "pat": "patricia", "patty": "patricia", "dick": "richard", "rick": "richard", "rich": "richard", "thea": "dorothea", "dot": "dorothea", "ted": "edward theodore", "ned": "edward", "ed": "edward", "eddie": "edward", "will": "william", "bill": "william", "billy": "william",
-    "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lizzie": "elizabeth", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "bob": "robert", "rob": "robert", "bobby": "robert",
-    "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "mags": "margaret", "henk": "henrik", "ellie": "eloise", "phil": "philippa", "ron": "veronica", "quen": "quentin",
+    "alex": "alexander", "sandy": "alexander", "sasha": "alexander", "andy": "andrew", "tony": "anthony", "art": "arthur", "ben": "benjamin", "charlie": "charles", "chuck": "charles", "chris": "christopher christine", "kit": "christopher",
+    "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "dot": "dorothy dorothea", "dottie": "dorothy", "thea": "dorothea", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward theodore", "teddy": "edward theodore", "theo": "theodore",
+    "ellie": "eleanor eloise", "nell": "eleanor", "liz": "elizabeth", "lizzie": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "eliza": "elizabeth", "fran": "francesca frances francis", "frank": "francis", "fred": "frederick", "freddie": "frederick",
+    "gabi": "gabrielle", "gabby": "gabrielle", "greg": "gregory", "hal": "harold henry", "harry": "harold henry", "henk": "hendrik henrik", "izzy": "isidore isabel", "jack": "john", "jake": "jacob", "jim": "james", "jimmy": "james", "joe": "joseph", "jo": "josephine joanna", "josie": "josephine",
+    "jon": "jonathan", "jonny": "jonathan", "johnny": "john", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kay": "katherine", "larry": "lawrence", "len": "leonard", "lenny": "leonard", "leo": "leonard", "lucy": "lucinda", "cindy": "lucinda cynthia",
+    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "mags": "margaret", "matt": "matthew matthias", "mike": "michael", "mick": "michael", "nick": "nicholas", "nico": "nicholas", "pat": "patricia patrick", "patty": "patricia", "trish": "patricia", "pete": "peter", "phil": "philip philippa", "pippa": "philippa",
+    "ray": "raymond", "becky": "rebecca", "becca": "rebecca", "dick": "richard", "rich": "richard", "rick": "richard", "rob": "robert", "bob": "robert", "bobby": "robert", "ron": "ronald veronica", "ronnie": "ronald veronica", "sam": "samuel samantha", "sammy": "samuel", "steve": "stephen steven",
+    "sue": "susan susannah", "susie": "susan susannah", "tim": "timothy", "tom": "thomas tomasz", "tommy": "thomas", "tomek": "tomasz", "vic": "victor viktor", "vik": "viktor", "will": "william", "bill": "william", "billy": "william", "willie": "william", "quen": "quentin",
 }
-GIVEN = set("veronica francesca gabrielle ingrid zoltan tomasz andre edward eloise noor bjorn rebecca oskar keiko harold patricia elizabeth josephine henrik isidore chiara margaret ursula christopher leonard lucinda katherine philippa quentin viktor dorothea nicholas susannah william theodore frederick alexander jonathan matthias richard samuel yusuf amara deborah robert".split())
+# Titles, legal forms and words for the kind of thing, which do not tell things of one kind apart.
 DROPPED = set("the of and dr mr mrs ms miss prof professor capt captain sir rev phd msc bsc md esq jr sr ltd limited gmbh inc plc registered reg'd no nr number research vessel ship rv mv project proj prj programme program team office".split())
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
@@ -57,6 +56,8 @@ _NEAR = {frozenset((r[k], r[k + 1])) for r in _ROWS for k in range(len(r) - 1)}
 _NEAR |= {frozenset((a, b)) for up, low in zip(_ROWS, _ROWS[1:]) for k, b in enumerate(low) for a in (up[k : k + 2] if up is _ROWS[0] else up[k : k + 2])}
 
 
+#: Words beside fewer different rarer words are no qualifiers; at least this share of all names, which bounds the lexicon.
+LEAST_BESIDE, SHARE = 5, 1 / 100_000
 #: Ranks from here on are those of full readings.
 FULL = 500.0
 #: Typing errors may cost up to so much.
@@ -84,14 +85,91 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
 
 
-def _near_word(t: str, words: dict | set) -> str | None:
-    if t in words:
-        return t
-    if len(t) >= 5:
-        for w in words:
-            if len(w) >= 5 and w[0] in t[:2] + t[:1] and one_edit(t, w):
-                return w
-    return None
+def shortens(a: str, b: str) -> bool:
+    """a has the first letter of b and then some of its others in order, at least two letters fewer."""
+    if len(a) > len(b) - 2 or len(a) < 2 or a[0] != b[0]:
+        return False
+    rest = iter(b)
+    return all(c in rest for c in a)
+
+
+class Lexicon:
+    """What is known of words: org and place qualifiers with their place in the name ('first', 'second'), and of persons' words how often they stand in each part."""
+
+    def __init__(self, qualifiers: dict[str, list[tuple[str, int, float]]], given: dict[str, tuple[int, int]]) -> None:
+        self.place_of: dict[str, dict[str, str]] = {}
+        self.full: dict[str, dict[str, str]] = {}
+        for kind, rows in qualifiers.items():
+            side = {w: "second" if kind == "org" and last >= 0.5 else "first" for w, _, last in rows}
+            n = {w: k for w, k, _ in rows}
+            self.place_of[kind] = side
+            long = {w: [b for b in side if side[b] == side[w] and n[b] > 2 * n[w] and shortens(w, b)] for w in side if len(w) <= 6}
+            whole = {w for w in side if not long.get(w)}
+            self.full[kind] = {w: self._options(w, long[w], whole) if long.get(w) else w for w in side}
+        self.whole = {k: {w for w in f if f[w] == w} for k, f in self.full.items()}
+        self.given = given
+        # names by position: the usual given names, which rare words are compared with
+        self.usual = {w for w, (g, s) in given.items() if g >= 4 and g > 2 * s}
+        self.near = {k: self._index(ws) for k, ws in [*self.whole.items(), ("person", self.usual)]}
+        self._known: dict[tuple[str, str], str] = {}
+
+    @staticmethod
+    def _options(w: str, long: list[str], whole: set[str]) -> str:
+        """The words that w can stand for: those that it begins, else those that have its letters in order."""
+        long = [b for b in long if b in whole] or long
+        return " ".join(sorted([b for b in long if b.startswith(w)] or long))
+
+    @staticmethod
+    def _index(words: set[str]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for w in sorted(words):
+            if len(w) >= 5:
+                for d in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+                    out.setdefault(d, []).append(w)
+        return out
+
+    def near_word(self, kind: str, t: str) -> str | None:
+        """The known word that t is a typing error of, if any; such words have one letter changed, lost, added or swapped."""
+        index = self.near.get(kind)
+        if not index or len(t) < 5:
+            return None
+        for d in (t, *(t[:k] + t[k + 1 :] for k in range(len(t)))):
+            for w in index.get(d, ()):
+                if w[0] in t[:2] and one_edit(t, w):
+                    return w
+        return None
+
+    def qualifier(self, kind: str, t: str) -> str | None:
+        """The qualifier that t is, misspells or abbreviates (several, separated by spaces, where it fits several); None if it is none."""
+        got = self._known.get((kind, t))
+        if got is None:
+            full = self.full.get(kind, {})
+            if t in full:
+                got = full[t]
+            else:
+                got = self.near_word(kind, t) or ""
+                if not got and (3 if kind == "org" else 2) <= len(t) <= 5:  # two letters are rather the initials of both words
+                    got = self._options(t, [b for b in self.whole.get(kind, ()) if shortens(t, b)], self.whole.get(kind, set()))
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[kind, t] = got
+        return got or None
+
+    def side(self, kind: str, options: str) -> str:
+        return self.place_of[kind][options.split(" ")[0]]
+
+    def givenness(self, t: str, stands: bool) -> float:
+        """Log odds that t is a given name rather than a surname, by where it stands in other rows; `stands`: it stands as a given name in this one."""
+        if t in NICKNAMES:
+            return 3.0
+        g, s = self.given.get(t) or (self.given.get(self.near_word("person", t) or "", (0, 0)))
+        return math.log((max(0, g - stands) + 0.5) / (max(0, s - (not stands)) + 0.5))
+
+    def given_name(self, t: str) -> str:
+        if t in NICKNAMES:
+            return NICKNAMES[t]
+        g, s = self.given.get(t, (0, 0))
+        return t if g > 3 else self.near_word("person", t) or t
 
 
 def typing_cost(x: str, y: str, most: float = 3.0) -> float:
@@ -122,26 +200,34 @@ def typing_cost(x: str, y: str, most: float = 3.0) -> float:
     return prev[-1]
 
 
-def read_name(name: str, kind: str | None) -> tuple[str, str, str, str, str]:
-    """(kind, core, first, second, number). first and second: given name (or 'x.' for an initial) and nothing; a kind of place and nothing; the two words of an organisation ('x.' for initials)."""
+def kind_of(kind: str | None) -> str | None:
+    return KINDS.get(re.sub(r"[^a-z]", "", (kind or "").lower()))
+
+
+def guessed_kind(text: str, tokens: list[str], lexicon: Lexicon) -> str:
+    """The kind of a name without a type, from the words that go with kinds."""
+    said = set(tokens)
+    if said & {"project", "prj", "proj", "programme"}:
+        return "project"
+    if said & {"rv", "vessel"}:
+        return "vessel"
+    if said & set(lexicon.full.get("org", ())) or any(len(t) > 6 and lexicon.near_word("org", t) for t in tokens):
+        return "org"
+    if said & set(lexicon.full.get("place", ())) or any(len(t) > 4 and lexicon.near_word("place", t) for t in tokens):
+        return "place"
+    short = len(tokens) == 2 and len(tokens[0]) > 5 and tokens[-1].isalpha()
+    if short and (len(tokens[-1]) == 3 or len(tokens[-1]) == 2 and text.rstrip().endswith(".")) and lexicon.qualifier("place", tokens[-1]):
+        return "place"
+    if short and len(tokens[-1]) == 2 or re.search(r"\b[a-z]\. ?[a-z]\.$", text) and len(tokens) == 3 and len(tokens[0]) > 5:
+        return "org"
+    return "person"
+
+
+def read_name(name: str, kind: str | None, lexicon: Lexicon) -> tuple[str, str, str, str, str]:
+    """(kind, core, first, second, number). first and second: given name (or 'x.' for an initial) and nothing; a kind of place and nothing; the two words of an organisation ('x.' for initials). Several words in one of them are alternatives."""
     text = fold(name)
-    kind = KINDS.get(re.sub(r"[^a-z]", "", (kind or "").lower()))
     tokens = re.findall(r"[a-z]+|\d+", text)
-    comma = "," in text
-    if kind is None:
-        said = set(tokens)
-        if said & {"project", "prj", "proj", "programme"}:
-            kind = "project"
-        elif said & {"rv", "vessel"}:
-            kind = "vessel"
-        elif any(t in BODIES or t in FIELDS for t in tokens) or any(len(t) > 6 and (_near_word(t, BODIES) or _near_word(t, FIELDS)) for t in tokens):
-            kind = "org"
-        elif said & set(PLACES) or any(len(t) > 4 and _near_word(t, PLACES) for t in tokens):
-            kind = "place"
-        elif len(tokens) == 2 and len(tokens[-1]) == 2 and tokens[-1].isalpha() and len(tokens[0]) > 5 or re.search(r"\b[a-z]\. ?[a-z]\.$", text) and len(tokens) == 3 and len(tokens[0]) > 5:
-            kind = "org"
-        else:
-            kind = "person"
+    kind = kind_of(kind) or guessed_kind(text, tokens, lexicon)
     number, words = "", []
     for k, t in enumerate(tokens):
         if t.isdigit():
@@ -151,64 +237,91 @@ def read_name(name: str, kind: str | None) -> tuple[str, str, str, str, str]:
         elif t not in DROPPED:
             words.append(t)
     first = second = ""
-    if kind == "place":
-        rest = []
-        for t in words:
-            w = PLACES.get(t) or PLACES.get(_near_word(t, PLACES) or "") if not first else None
-            if w:
-                first = w
-            else:
-                rest.append(t)
-        words, number = rest, ""
-    elif kind == "org":
-        rest, letters = [], []
-        for t in words:
-            f, b = _near_word(t, FIELDS), _near_word(t, BODIES)
-            if f and not first:
-                first = FIELDS[f]
-            elif b and not second:
-                second = BODIES[b]
-            elif len(t) == 1:
-                letters.append(t)
-            else:
-                rest.append(t)
-        out = []
-        for t in rest:  # words that ran together
-            tail = next((f for f in FIELDS if len(f) >= 5 and not first and t.endswith(f) and len(t) > len(f) + 3), None)
-            if tail:
-                first, t = FIELDS[tail], t[: -len(tail)]
-            out.append(t)
-        pair = next((t for t in out if len(t) == 2), None)
-        if not first and not second and len(out) > 1 and pair:
-            letters, out = list(pair), [t for t in out if t != pair]
-        if not first and not second and len(letters) >= 2:
-            first, second = letters[0] + ".", letters[1] + "."
-        words, number = out, ""
+    if kind in ("place", "org"):
+        number, words, first, second = "", *_qualified(words, kind, lexicon)
     elif kind == "person":
-        rest, letters = [], []
-        for t in words:
-            if len(t) == 1:
-                letters.append(t)
-            else:
-                rest.append(t)
-        g = [t for t in rest if t in GIVEN or t in NICKNAMES] or [t for t in rest if len(rest) > 1 and (_near_word(t, GIVEN) or _near_word(t, NICKNAMES))]
-        if g and len(rest) > 1:
-            t = g[0] if not comma else g[-1]
-            rest = [u for u in rest if u is not t]
-            w = t if t in GIVEN or t in NICKNAMES else _near_word(t, GIVEN) or _near_word(t, NICKNAMES)
-            first = NICKNAMES.get(w, w)
-        elif len(rest) > 1:  # an unknown given name: before the surname, or after a comma
-            k = len(rest) - 1 if comma else 0
-            first = rest.pop(k)
+        rest = [t for t in words if len(t) > 1]
+        letters = [t for t in words if len(t) == 1]
+        if len(rest) > 1:
+            comma = "," in text
+            stands = len(rest) - 1 if comma else 0
+            odds = [lexicon.givenness(t, k == stands) + (1.0 if k == stands else 0.0) for k, t in enumerate(rest)]
+            k = max(range(len(rest)), key=lambda k: (odds[k], k == stands))
+            first = lexicon.given_name(rest.pop(k))
         elif letters:
             first = letters[0] + "."
-        words, number = rest, ""
+        words = rest
     core = max(words, key=len) if words else ""
     if kind == "person" and len(words) > 1:
         core = "".join(words)
     return kind, core, first, second, number
 
 
+def _qualified(words: list[str], kind: str, lexicon: Lexicon) -> tuple[list[str], str, str]:
+    """(other words, first, second) of an organisation or place. At least one word stays: the one that is no qualifier, else the longest."""
+    rest, letters, got = [], [], {"first": "", "second": ""}
+    found = [(t, lexicon.qualifier(kind, t) if len(t) > 1 else None) for t in words]
+    if found and all(q or len(t) == 1 for t, q in found):
+        spared = max(found, key=lambda x: len(x[0]))
+        found = [(t, None if (t, q) is spared or (t, q) == spared else q) for t, q in found]
+    for t, q in found:
+        side = lexicon.side(kind, q) if q else ""
+        if q and not got[side]:
+            got[side] = q
+        elif len(t) == 1 and kind == "org":
+            letters.append(t)
+        else:
+            rest.append(t)
+    out = []
+    for t in rest:  # words that ran together
+        tail = next((w for k in range(len(t) - 4, 3, -1) if (w := t[k:]) in lexicon.whole.get(kind, ()) and not got[lexicon.side(kind, w)]), None)
+        if tail:
+            got[lexicon.side(kind, tail)], t = tail, t[: -len(tail)]
+        out.append(t)
+    if kind == "org" and not any(got.values()):
+        pair = next((t for t in out if len(t) == 2), None)
+        if len(out) > 1 and pair:
+            letters, out = list(pair), [t for t in out if t != pair]
+        if len(letters) >= 2:
+            got = {"first": letters[0] + ".", "second": letters[1] + "."}
+    return out, got["first"], got["second"]
+
+
+def learned_lexicon(entities: DataFrame) -> Lexicon:
+    """The lexicon of the corpus, from all rows (name, type) whose type is known.
+
+    What reaches the driver: words beside at least `LEAST_BESIDE` rarer words, and beside a share of all names; so their
+    number is bounded by the words of a name over that share.
+    """
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, n, t in zip(b["entity_id"], b["name"], b["type"]):
+                kind = kind_of(t if isinstance(t, str) else None)
+                if kind in ("org", "place", "person") and isinstance(n, str):
+                    text = fold(n)
+                    ts = [w for w in re.findall(r"[a-z]+", text) if len(w) > 1 and w not in DROPPED]
+                    stands = len(ts) - 1 if "," in text else 0
+                    for k, w in enumerate(ts):
+                        rows.append((i, kind, w, k == stands, k + 1 == len(ts) and "," not in text, len(ts)))
+            yield pd.DataFrame(rows, columns=["entity_id", "kind", "w", "given", "last", "size"])
+
+    rows = cut(entities.mapInPandas(words, f"entity_id {dict(entities.dtypes)['entity_id']}, kind string, w string, given boolean, last boolean, size int"))
+    n = rows.select("entity_id").distinct().count()
+    floor = max(LEAST_BESIDE, int(n * SHARE))
+    counts = rows.where("kind <> 'person'").groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.where("size > 1").join(counts, ["kind", "w"])
+    rarest = seen.groupBy("entity_id", "kind").agg(F.min(F.struct("n", (-F.length("w")).alias("len"), "w")).alias("r")).select("entity_id", "kind", F.col("r.w").alias("core"))
+    beside = seen.join(rarest, ["entity_id", "kind"]).where("w <> core").groupBy("kind", "w", "core").agg(F.max(F.col("last").cast("int")).alias("last"))
+    top = beside.groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"), F.avg("last").alias("last")).where(F.col("n") >= floor).collect()
+    qualifiers: dict[str, list[tuple[str, int, float]]] = {}
+    for r in sorted(top, key=lambda r: (r["kind"], -r["n"], r["w"])):
+        qualifiers.setdefault(r["kind"], []).append((r["w"], r["n"], r["last"]))
+    sides = rows.where("kind = 'person' and size > 1").groupBy("w").agg(F.sum(F.col("given").cast("int")).alias("g"), F.sum((~F.col("given")).cast("int")).alias("s"))
+    given = {r["w"]: (r["g"], r["s"]) for r in sides.where((F.col("g") >= 2) & (F.col("g") >= int(n * SHARE))).collect()}
+    return Lexicon(qualifiers, given)
+
+
 def _near_keys(core: str) -> set[str]:
     """Any two cores within `MOST` have one of these in common.
 
@@ -248,17 +361,18 @@ def qualifier_cost(kind: str, x: tuple[str, str, str], y: tuple[str, str, str])
         if not yf or not ys or yf.endswith("."):
             return math.inf
         if xf.endswith("."):
-            return 1.0 if xf[0] == yf[0] and xs[0] == ys[0] else math.inf
-        if xf and xf != yf or xs and xs != ys:
+            return 1.0 if any(w[0] == xf[0] for w in yf.split()) and any(w[0] == xs[0] for w in ys.split()) else math.inf
+        if xf and not set(xf.split()) & set(yf.split()) or xs and not set(xs.split()) & set(ys.split()):
             return math.inf
-        return 1.5 if xf or xs else 3.0
-    return 0.0 if (xf, xs) == (yf, ys) else math.inf
+        return (0.3 if xf and xs else 1.5 if xf or xs else 3.0) + 0.3 * (yf.count(" ") + ys.count(" "))
+    return 0.0 if (xf, xs) == (yf, ys) else 0.3 if set(xf.split()) & set(yf.split()) else math.inf
 
 
 def _full(kind: str, first: str, second: str) -> bool:
+    """The reading names its thing fully: no initials, no alternatives, nothing left out."""
     if kind == "person":
         return bool(first) and not first.endswith(".")
-    return kind != "org" or bool(first and second) and not first.endswith(".")
+    return " " not in first + second and (kind != "org" or bool(first and second) and not first.endswith("."))
 
 
 def _neighbours(block: list[tuple], centre: str) -> list[tuple]:
@@ -316,12 +430,14 @@ def link_variants(entities: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, n, t, f in zip(b["entity_id"], b["name"], b["type"], b["frequency"]):
-                kind, core, first, second, number = read_name(n, t if isinstance(t, str) else None) if isinstance(n, str) else ("", "", "", "", "")
+                kind, core, first, second, number = read_name(n, t if isinstance(t, str) else None, lexicon) if isinstance(n, str) else ("", "", "", "", "")
                 sid = f"{kind}|{core}|{first}|{second}|{number}" if core else f"#{i}"
                 rows.append((i, sid, kind, core, first, second, number, int(f) if f == f and f is not None else 0))
             yield pd.DataFrame(rows, columns=["entity_id", "sid", "kind", "core", "first", "second", "number", "freq"])
 
     distinct = entities.where("entity_id is not null").groupBy("entity_id").agg(F.min("name").alias("name"), F.min("type").alias("type"), F.max("frequency").alias("frequency"))
+    distinct = cut(distinct)
+    lexicon = learned_lexicon(distinct)
     readings = cut(distinct.mapInPandas(read, "entity_id bigint, sid string, kind string, core string, first string, second string, number string, freq bigint"))
     spellings = readings.where("core <> ''").groupBy("sid", "kind", "core", "first", "second", "number").agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("freq"))
 

@@ -130,6 +130,11 @@ def test_name_variants(spark):
         rows += [(i, n, kind[g], 3, "clash", "clash") for i, n in zip(ids, ns)]
         want |= {(a, b) for a in ids for b in ids if a < b}
         k += len(ns)
+    # other names, from which the words that qualify names are learned
+    others = [f"{c} {q}" for c in ("Quorbin", "Zadmeltor", "Hulvensir", "Pelgandor", "Tarfolin", "Wexunbar") for q in ("Marine Institute", "Polar Foundation")]
+    rows += [(500 + i, n, "ORG", 1, None, None) for i, n in enumerate(others)] + [(600 + i, f"{c} Reef", "PLACE", 1, None, None) for i, c in enumerate(("Ostermul", "Jandovar", "Kelbrusan", "Yolpentir", "Ubranzol"))]
+    rows += [(700 + i, f"{g} {c}", "PERSON", 1, None, None) for i, (g, c) in enumerate((g, c) for g in ("Katherine", "Robert") for c in ("Ilverdan", "Xunporel", "Wastimor"))]
+    k += 23
     rows += [(900, None, None, None, None, None), (901, " ", None, None, None, None), (902, "12", "PERSON", 1, None, None)] + rows[:3]
     got, n = _same(spark, rows)
     assert got == want and n == k + 3
