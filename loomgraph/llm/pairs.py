@@ -20,22 +20,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Frequent words by language, without those that several languages share in the same role.
+from loomgraph.session import cut
+
+# Function words of published stop word lists, without those that several of the languages write alike.
 STOPWORDS = {
-    "en": "the of and to in that is was for it with as his on be at by had not are but from or have an they which one were all her she there would their him been has when who will no more if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over me even most made after also did many off before must well back through years much where your way down should because each just those how too own while here between both under last never against without during since yet still until ended runs knew asked".split(),
-    "fr": "le la les de des du et en un une dans que qui est pour pas sur au aux avec par ce cette ces il elle ils elles nous vous je sont ont été était mais ou où donc car ne plus son sa ses leur leurs à se si tout tous même aussi après avant depuis sans sous entre encore très peu être avoir fait dont quand comme chez vers jamais toujours rien quelle quel quelles combien pourquoi d'un d'une c'est n'a qu'il maintenant faute manque dirige".split(),
-    "de": "der die das und ist von zu mit den dem des im in ein eine einer eines einem einen nicht auf für als auch es an werden aus er hat dass daß sie nach wird bei noch wie über so zum zur war haben nur oder aber vor bis mehr durch man sein wurde sind ihre ihr seine seit unter kann gegen vom wenn schon sich ob weil doch dann keine kein wer wann warum welche welcher diese dieser dieses jetzt wieder sehr obwohl davon denen galten während geleitet ohne".split(),
-    "es": "el la los las de del y en un una que es por con para no se su sus al lo como más pero le ya o este esta estos estas sí porque entre cuando muy sin sobre ser también me hasta hay donde quien quién desde todo nos durante todos uno les ni contra otros ese eso había ante ellos e antes unos yo otro otras otra él tanto esa mucho nada muchos cual cuál cuándo cuántas cuántos poco ella está estas fue son ha han era aunque después dirige dónde qué ahora falta".split(),
-    "pt": "o os um uma do da dos das em no na nos nas ao aos à às não que com por para mais foi são uma seu sua seus suas ele ela mas porque quando muito também já até pelo pela desde sem depois você isso este esta esse essa foram está ainda dois duas equipa plano chegaram tempo mudou peças e".split(),
-    "it": "il lo gli i di del della dei delle degli nel nella nei e è un una che non per con sono da al alla alle ai più come ma anche questo questa dal dalla sua suo suoi loro si ha hanno era erano dopo prima quando perché senza fino molto tutto tutti stato stata squadra cambiato piano".split(),
-    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal nu ging werd omdat onderdelen waren ploeg".split(),
-    "sv": "och det att i en jag hon som han på den med var sig för så till är men ett om hade de av icke mig du henne då sin nu har inte hans honom skulle hennes där min man ej vid kunde något från ut när efter upp vi dem vara vad över än".split(),
-    "da": "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når være".split(),
-    "pl": "i w na z do się nie to że jest o po jak za od przez dla ale czy są być był była tak już jego jej tym który która które tylko może oraz przed gdy bez pod zmienił zespół części dotarły czas".split(),
-    "tr": "ve bir bu da de için ile olarak çok daha gibi olan sonra kadar ne ama ki o her en var yok değil mi ise parçalar ekip plan zamanında".split(),
-    "fi": "ja on ei se että oli hän ovat mutta kun niin myös kuin sen joka mitä vain jo tai nyt ole olla hänen jos sitä siitä koska osat".split(),
+    "en": "the of and to in that is was for it with as his on be at by had not are but from or have an they which one were all her she there would their him been has when who will no more if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over me even most made after also did many off before must well back through years much where your way down should because each just those how too own while here between both under last never against without during since yet still until".split(),
+    "fr": "le la les de des du et en un une dans que qui est pour pas sur au aux avec par ce cette ces il elle ils elles nous vous je sont ont été était étaient mais ou où donc car ne plus son sa ses leur leurs à se si tout tous toute toutes même aussi après avant depuis sans sous entre encore très peu être avoir fait dont quand comme chez vers jamais toujours rien quelle quel quelles combien pourquoi d'un d'une c'est n'a qu'il maintenant eux lui notre votre parce".split(),
+    "de": "der die das und ist von zu mit den dem des im in ein eine einer eines einem einen nicht auf für als auch es an werden aus er hat dass daß sie nach wird bei noch wie über so zum zur war haben nur oder aber vor bis mehr durch man sein wurde sind ihre ihr seine seit unter kann gegen vom wenn schon sich ob weil doch dann keine kein wer wann warum welche welcher diese dieser dieses jetzt wieder sehr obwohl davon denen während ohne konnte können hatte hatten wurden waren zwischen".split(),
+    "es": "el la los las de del y en un una que es por con para no se su sus al lo como más pero le ya o este esta estos estas sí porque entre cuando muy sin sobre ser también me hasta hay donde quien quién desde todo nos durante todos uno les ni contra otros ese eso había ante ellos e antes unos yo otro otras otra él tanto esa mucho nada muchos cual cuál cuándo cuántas cuántos poco ella estas fue son ha han era aunque después dónde qué ahora".split(),
+    "pt": "o os um uma do da dos das em no na nos nas ao aos à às não que com por para mais foi são seu sua seus suas ele ela eles elas mas porque quando muito também já até pelo pela pelos pelas desde sem depois você isso isto este esta esse essa estes estas esses essas foram está estão ainda num numa nem era eram tem têm tinha ter lhe lhes só quem qual e".split(),
+    "it": "il lo gli i di del dello dei delle degli dell nel nello nella nei nelle negli e è un una che non per con sono da al allo alla agli alle ai più come ma anche questo questa questi queste quello quella dal dallo dalla dai dalle sul sulla sua suo suoi sue loro si ha hanno era erano dopo prima quando perché senza fino molto tutto tutti stato stata cui dove chi tra fra".split(),
+    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal zij nu geen omdat iets worden toch waren veel meer doen toen moet ben zonder kan hun dus alles onder eens werd altijd doch wordt kunnen ons zelf tegen reeds kon niets uw iemand geweest andere".split(),
+    "sv": "och det att i en jag hon som han på den med var sig för så till är men ett om hade de av icke mig du henne då sin nu har inte hans honom skulle hennes där min man ej vid kunde något från ut när efter upp vi dem vara vad över än dig kan sina här alla någon eller allt mycket sedan ju denna själv detta åt utan varit hur ingen mitt ni bli blev oss dessa några deras blir mina vilken sådan vår blivit dess inom mellan".split(),
+    "da": "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når være dog noget ville jo deres efter ned skulle denne end dette også dig anden hende alt meget sit sine mod disse hvis din nogle hos blive mange ad bliver hendes været".split(),
+    "pl": "i w na z do się nie to że jest o po jak za od przez dla ale czy są być był była było były tak już jego jej tym tego tej ten ta który która które których tylko może oraz przed gdy bez pod ponieważ aby jednak między kiedy gdzie jeszcze przy nad bo a ze lecz więc niż albo".split(),
+    "tr": "ve bir bu da de için ile olarak çok daha gibi olan sonra kadar ne ama ki o her en var yok değil mi ise çünkü hiç şu şey veya nasıl neden niçin diye bazı tüm önce".split(),
+    "fi": "ja on ei se että oli hän ovat mutta kun niin myös kuin sen joka mitä vain jo tai nyt ole olla hänen jos sitä siitä koska eivät olivat ollut jotka tämä tämän niiden mikä vielä sekä".split(),
 }
 
+# Letters that one of the languages alone uses; a word with one of them votes like half a stop word.
+OWN_LETTERS = {"ł": "pl", "ą": "pl", "ę": "pl", "ś": "pl", "ź": "pl", "ż": "pl", "ć": "pl", "ń": "pl", "ã": "pt", "õ": "pt", "ğ": "tr", "ı": "tr", "ş": "tr", "æ": "da", "ø": "da", "ß": "de", "ñ": "es"}
+
 # Months, which vote like stop words where only one language spells them so.
 MONTHS = {
     "en": "january february march may june july october december".split(),
@@ -52,25 +57,49 @@ for _lang, _words in STOPWORDS.items():
 _MONTH_NAMES = {m for ms in MONTHS.values() for m in ms}
 _MAIN = ("en", "fr", "de", "es")
 
-# What refusals say, by language, after normalisation (lower case, straight quotes, single spaces).
+# What refusals are made of, by language, after normalisation (lower case, straight quotes, single spaces).
+PARTS = {
+    "en unable": ["i can't", "i cannot", "i can not", "i could not", "i couldn't", "i am unable", "i'm unable", "i am not able", "i'm not able", "i won't", "i will not", "i am not allowed", "i'm not allowed", "i am not permitted", "i'm not permitted", "i am not comfortable", "i'm not comfortable", "i'd rather not", "i would rather not", "i'd prefer not", "i would prefer not", "we cannot", "we can't", "we are unable", "we're unable", "i do not feel able", "i don't feel able", "i shouldn't", "i should not"],
+    "en say": ["help", "answer", "answering", "assist", "provide", "give", "giving", "share", "sharing", "discuss", "discussing", "comment", "commenting", "say", "speculate", "respond", "reply", "disclose", "reveal", "tell", "talk", "talking", "speak", "advise", "fulfil", "fulfill", "comply", "offer", "address", "engage", "go into"],
+    "en lack": ["i don't have", "i do not have", "i have no", "i lack", "we don't have", "we do not have", "i haven't", "i was not given", "i wasn't given"],
+    "en knowledge": ["access", "information", "data", "knowledge", "records", "details", "enough", "sufficient", "sources", "answer", "basis", "facts"],
+    "en what": ["something", "a topic", "a subject", "a matter", "a question", "anything", "what", "outside", "beyond", "those", "things"],
+    "en may": ["i am allowed", "i'm allowed", "i am permitted", "i'm permitted", "i am able", "i'm able", "i am authorised", "i'm authorised", "i am authorized", "i'm authorized", "i am free", "i'm free", "i can", "i may"],
+    "en not": ["not", "isn't", "nothing", "no", "outside", "beyond", "without"],
+    "en for me": ["appropriate for me", "proper for me", "right for me", "possible for me", "let me", "allow me to", "enable me to", "lets me", "allows me to", "enables me to", "permit me to", "help me"],
+    "en source": ["context", "passages", "passage", "sources", "documents", "document", "records", "material", "text", "texts", "excerpts"],
+    "en silent": ["does not contain", "doesn't contain", "do not contain", "don't contain", "does not include", "do not include", "does not provide", "do not provide", "does not mention", "do not mention", "does not say", "do not say", "contains no", "contain no"],
+    "en given": ["no answer can be", "no answer is possible", "cannot be answered", "can't be answered", "can not be answered", "could not be answered", "impossible to answer", "not possible to answer"],
+    "fr unable": ["je ne peux", "je ne suis pas en mesure", "je suis dans l'impossibilité", "je ne saurais", "je préfère ne pas", "je refuse", "je dois refuser", "je ne souhaite pas", "je ne suis pas autorisé", "il m'est impossible", "je ne veux pas", "nous ne pouvons", "je dois m'abstenir"],
+    "fr say": ["répondre", "aider", "donner", "fournir", "commenter", "m'exprimer", "exprimer", "dire", "partager", "communiquer", "parler", "me prononcer", "discuter", "révéler", "assister", "divulguer"],
+    "fr lack": ["je n'ai pas", "je ne dispose pas", "je n'ai aucun", "je ne dispose d'aucun", "ne permet pas de", "ne permettent pas de"],
+    "fr knowledge": ["accès", "information", "informations", "données", "éléments", "assez", "suffisamment", "aucune", "répondre"],
+    "es unable": ["no puedo", "no me es posible", "no estoy autorizado", "no estoy autorizada", "no estoy en condiciones", "prefiero no", "debo abstenerme", "me niego", "no debo", "no podemos", "no es posible", "no se puede", "no quiero", "no voy a", "tengo que negarme"],
+    "es say": ["ayudar", "ayudarle", "ayudarte", "responder", "responderle", "contestar", "dar", "proporcionar", "facilitar", "comentar", "decir", "decirle", "compartir", "hablar", "pronunciarme", "revelar", "opinar", "ofrecer"],
+    "es lack": ["no tengo", "no dispongo", "carezco", "no contiene", "no contienen", "no cuento con"],
+    "es knowledge": ["acceso", "información", "datos", "suficiente", "suficientes", "elementos", "respuesta"],
+    "de unable": ["kann ich", "ich kann", "darf ich", "ich darf", "möchte ich", "ich möchte", "ich bin nicht in der lage", "ich bin nicht befugt", "ich muss es ablehnen", "ich muss ablehnen", "ich werde", "werde ich", "können wir", "wir können"],
+    "de not": ["nicht", "keine", "keinen", "nichts", "leider"],
+    "de say": ["beantworten", "helfen", "antworten", "auskunft", "äußern", "sagen", "mitteilen", "geben", "sprechen", "teilen", "weitergeben", "stellung nehmen", "kommentieren", "besprechen", "verraten", "machen"],
+    "de lack": ["liegen mir", "ich habe", "habe ich", "mir fehlen", "mir fehlt"],
+    "de knowledge": ["informationen", "daten", "zugriff", "angaben", "zugang", "unterlagen", "auskunft", "kenntnis"],
+}
+
+#: Refusals as parts that follow each other, with so many characters in between at most.
+FORMS = [
+    ("en unable", "en say"), ("en lack", "en knowledge"), ("en knowledge", "en lack"), ("en not", "en what", "en may", "en say"), ("en what", "en may", "en say"), ("en not", "en for me", "en say"),
+    ("en source", "en silent", "en knowledge"), ("en given",), ("fr unable", "fr say"), ("fr lack", "fr knowledge"), ("es unable", "es say"), ("es lack", "es knowledge"),
+    ("de unable", "de not", "de say"), ("de lack", "de not", "de knowledge"),
+]
+BETWEEN = 40
+
+# What refuses by itself.
 REFUSALS = [
-    "i can't help", "i cannot help", "i can not help", "i can't answer", "i cannot answer", "i can't assist", "i cannot assist", "i can't provide", "i cannot provide",
-    "i can't give", "i cannot give", "i can't share", "i cannot share", "i can't discuss", "i cannot discuss", "i can't comment", "i cannot comment", "i can't say",
-    "i cannot say", "i'm unable", "i am unable", "i'm not able", "i am not able", "something i'm able to talk", "something i am able to talk", "i won't speculate",
-    "i will not speculate", "i won't answer", "i will not answer", "i must refrain", "i must decline", "i have to decline", "i have to refuse", "i decline to", "i refuse to",
-    "i'd rather not", "i would rather not", "i'd prefer not", "i would prefer not", "i do not have access", "i don't have access", "i do not have enough", "i don't have enough",
-    "i do not have the information", "i don't have the information", "i don't have any information", "i do not have any information", "data that i don't have",
-    "data that i do not have", "i don't know", "i do not know", "what i am allowed to", "what i'm allowed to", "i am not allowed", "i'm not allowed", "i am not permitted",
-    "i'm not permitted", "appropriate for me to", "not comfortable", "no answer can be given", "let me answer this", "does not contain enough information",
-    "doesn't contain enough information", "not enough information to answer", "cannot be answered from", "can't be answered from", "against my guidelines",
-    "i'm sorry, but i", "i am sorry, but i", "sorry, i can't", "sorry, i cannot", "unfortunately, i can", "unfortunately i can", "as an ai", "as a language model",
-    "je ne peux pas", "je ne peux ni", "je ne suis pas en mesure", "je suis dans l'impossibilité", "je ne saurais", "je suis désolé, mais je", "je suis désolée, mais je", "je préfère ne pas", "je refuse de",
-    "je dois refuser", "je n'ai pas accès", "je ne dispose pas", "je ne sais pas", "je regrette, mais", "il m'est impossible", "je ne souhaite pas", "je ne suis pas autorisé", "ne permet pas de répondre",
-    "lo siento, pero", "lo siento, no", "no puedo ayudar", "no puedo responder", "no puedo contestar", "no puedo dar", "no puedo proporcionar", "no puedo facilitar", "no estoy autorizad",
-    "no me es posible", "no tengo acceso", "no dispongo de", "prefiero no", "debo abstenerme", "me niego a", "no estoy en condiciones", "no sé la respuesta", "no es posible responder", "no se puede responder",
-    "kann ich nicht beantworten", "kann ich leider", "ich kann leider", "ich kann dazu", "ich kann diese frage", "ich kann ihnen", "kann ich ihnen leider", "darf ich nicht", "ich darf",
-    "ich darf dazu", "möchte ich nicht", "ich möchte dazu", "es tut mir leid", "tut mir leid, aber", "leider kann ich", "leider keine auskunft", "ich weiß es nicht", "ich habe keinen zugriff",
-    "liegen mir nicht vor", "liegen mir keine", "ich muss ablehnen", "lässt sich nicht beantworten", "ich bin nicht in der lage", "ich bin nicht befugt",
+    "i must refrain", "i must decline", "i have to decline", "i have to refuse", "i decline to", "i refuse to", "i don't know", "i do not know", "against my guidelines", "against my instructions", "as an ai", "as a language model",
+    "i'm sorry, but i", "i am sorry, but i", "sorry, i can't", "sorry, i cannot", "unfortunately, i can't", "unfortunately, i cannot",
+    "je suis désolé, mais je", "je suis désolée, mais je", "je ne sais pas", "je regrette, mais",
+    "lo siento, pero", "lo siento, no", "no sé la respuesta",
+    "es tut mir leid", "tut mir leid, aber", "ich weiß es nicht", "lässt sich nicht beantworten", "mir fehlen die informationen",
 ]
 
 # Answers that say nothing, without case, outer white space and punctuation.
@@ -90,6 +119,9 @@ _TITLES = {"dr.", "mr.", "mrs.", "ms.", "prof.", "capt.", "st.", "e.g.", "i.e.",
 _LIST = re.compile(r"^\s*(\d+[.)]|[-*•–])(\s+\S|$)")
 _FORMAT = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_OTHER = re.compile(r"[\W_]+")
+_SENTENCE_END = re.compile(r"[.!?;] ")
+_LETTER, _LATIN = regex.compile(r"\p{L}"), regex.compile(r"\p{Latin}")
 
 
 @lru_cache(maxsize=1024)
@@ -107,8 +139,7 @@ def squeezed(text: str) -> str:
 def says_nothing(text: str | None) -> bool:
     if text is None or _LABEL.match(text):
         return True
-    bare = "".join(c if c.isalnum() else " " for c in plain(text).lower())
-    words = bare.split()
+    words = _OTHER.sub(" ", plain(text).lower()).split()
     return " ".join(words) in PLACEHOLDERS or "".join(words) in ("na", "nil") or not words
 
 
@@ -169,11 +200,15 @@ def copied(question: str, answer: str, least: int = 4) -> tuple[float, float]:
     q, a = _letters(question), _letters(answer)
     if not q or not a:
         return 0.0, 0.0
-    # matches of `least` characters or more that cover a share of the answer hold at least that share / `least` of its grams
+    # whoever lies in a match of `least` characters lies in a common gram: too few of those settle it without the automata
     grams = {q[k : k + least] for k in range(len(q) - least + 1)}
-    shared = sum(a[k : k + least] in grams for k in range(len(a) - least + 1))
-    if shared * least < COPIED * len(a):
-        return shared * least / len(a), 0.0
+    covered = until = 0
+    for k in range(len(a) - least + 1):
+        if a[k : k + least] in grams:
+            covered += k + least - max(k, until)
+            until = k + least
+    if covered < COPIED * len(a):
+        return covered / len(a), 0.0
     return SuffixAutomaton(q).coverage(a, least) / len(a), SuffixAutomaton(a).coverage(q, least) / len(q)
 
 
@@ -183,8 +218,10 @@ def is_copy(question: str, answer: str) -> bool:
     return of_answer >= COPIED and of_question >= 0.75
 
 
-def _scripts(text: str) -> Counter:
-    return Counter(unicodedata.name(c, "?").split(" ")[0].split("-")[0] for c in text if c.isalpha())
+def _foreign_script(text: str) -> bool:
+    """Most letters are not Latin ones."""
+    letters = len(_LETTER.findall(text))
+    return letters > 0 and len(_LATIN.findall(text)) < 0.5 * letters
 
 
 def language_votes(text: str, lexicon: dict[str, list[tuple[str, float]]] | None = None) -> tuple[Counter, int]:
@@ -204,6 +241,8 @@ def language_votes(text: str, lexicon: dict[str, list[tuple[str, float]]] | None
             own = _VOTES.get(low)
             if own is None and "'" in low:
                 own = _VOTES.get(low.split("'")[1]) or ([("fr", 1.0)] if low.split("'")[0] in ("l", "d", "qu", "n", "s", "j") else None)
+            if own is None and not named and not low.isascii():
+                own = [(g, 0.5) for g in {OWN_LETTERS[c] for c in low if c in OWN_LETTERS}] or None
             if own is None and lexicon is not None:
                 own = lexicon.get(low)
             elif own is not None and len(own) > 1:
@@ -235,11 +274,8 @@ def other_language(question: str, answer: str, lexicon: dict) -> bool:
     asked = question_language(question)
     if asked is None:
         return False
-    scripts = {} if answer.isascii() else _scripts(_QUOTED.sub(" ", answer))
-    if scripts and scripts.get("LATIN", 0) < 0.5 * sum(scripts.values()):
-        own = _scripts(question)
-        if own.get("LATIN", 0) >= 0.5 * sum(own.values()):
-            return True
+    if not answer.isascii() and _foreign_script(_QUOTED.sub(" ", answer)) and not _foreign_script(question):
+        return True
     votes, _ = language_votes(answer, lexicon)
     mine = votes.pop(asked, 0.0)
     best = votes.most_common(1)
@@ -300,21 +336,29 @@ def _grams(words: list[str], k: int) -> list[str]:
     return whole + [" ".join(words[max(0, k - n + 1) : k + 1]) for n in (4, 3, 2, 1)]
 
 
-def ending_counts(answers: Iterator[str], common: frozenset[str]) -> Counter:
-    """For every run of up to four words, (gram, ends a sentence) -> count; for every start, whether the answer ends there."""
-    c: Counter = Counter()
+def ending_counts(answers: Iterator[str], common: frozenset[str]) -> tuple[Counter, Counter]:
+    """(seen, ends) of every run of up to four words, and of every start as a whole: how often, and how often before a stop."""
+    seen: Counter = Counter()
+    ends: Counter = Counter()
     for a in answers:
         words = masked(plain(a), common)
-        for k, w in enumerate(words):
-            if w == ".":
-                continue
-            whole, *runs = _grams(words, k)
-            if whole:
-                c[whole, k + 1 == len(words) or words[k + 1] == "."] += 1
-            if k + 1 < len(words) or len(words) <= 8 and "." not in words:
-                for g in set(runs):
-                    c[g, k + 1 == len(words) or words[k + 1] == "."] += 1
-    return c
+        n = len(words)
+        last = [k for k in range(n) if words[k] != "." and (k + 1 == n or words[k + 1] == ".")]
+        inside = n if n <= 8 and "." not in words else n - 1  # the last word counts only in short answers that need no stop
+        runs = words
+        for size in range(1, 5):
+            if size > 1:
+                runs = [f"{x} {y}" for x, y in zip(runs, words[size - 1 :])]
+            seen.update(runs[k] for k in range(inside - size + 1) if words[k + size - 1] != ".")
+            ends.update(runs[k - size + 1] for k in last if size - 1 <= k < inside)
+        start = "^"
+        for k in range(min(n, WHOLE)):
+            start = f"{start} {words[k]}"
+            if words[k] != ".":
+                seen[start] += 1
+                if k + 1 == n or words[k + 1] == ".":
+                    ends[start] += 1
+    return seen, ends
 
 
 def breaks_off(text: str) -> bool | None:
@@ -335,23 +379,43 @@ def breaks_off(text: str) -> bool | None:
     return None
 
 
-_AUTOMATON = None
+@lru_cache(maxsize=1)
+def _automaton():
+    """The parts and whole refusals as one automaton, and for each form the parts it consists of."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    found: dict[str, list[str]] = {}
+    for part, phrases in [*PARTS.items(), ("refusal", REFUSALS)]:
+        for p in phrases:
+            found.setdefault(p, []).append(part)
+    for p, parts in found.items():
+        a.add_word(p, (len(p), tuple(parts)))
+    a.make_automaton()
+    return a
 
 
 def refuses(text: str) -> bool:
-    global _AUTOMATON
-    if _AUTOMATON is None:
-        import ahocorasick
-
-        _AUTOMATON = ahocorasick.Automaton()
-        for p in REFUSALS:
-            _AUTOMATON.add_word(p, len(p))
-        _AUTOMATON.make_automaton()
+    """Whole refusals, or parts in the order of a form within one sentence. What stands in quotation marks does not count."""
     t = squeezed(_QUOTED.sub(" ", plain(text).replace("’", "'")))
-    for end, size in _AUTOMATON.iter(t):
+    reached: dict[tuple[int, int], int] = {}  # (form, parts seen) -> where the last of them ended
+    for end, (size, parts) in _automaton().iter(t):
         lo = end + 1 - size
-        if lo == 0 or not t[lo - 1].isalnum() and t[lo - 1] != "'":
-            return True
+        if lo and (t[lo - 1].isalnum() or t[lo - 1] == "'") or end + 1 < len(t) and t[end + 1].isalnum():
+            continue
+        for part in parts:
+            if part == "refusal":
+                return True
+            for f, form in enumerate(FORMS):
+                for k in range(len(form) - 1, -1, -1):
+                    if form[k] != part:
+                        continue
+                    before = reached.get((f, k))
+                    if k and (before is None or before > lo or lo - before > BETWEEN or _SENTENCE_END.search(t, before, lo)):
+                        continue
+                    if k + 1 == len(form):
+                        return True
+                    reached[f, k + 1] = end + 1
     return False
 
 
@@ -435,12 +499,13 @@ def defective_pairs(pairs: DataFrame, ends_share: float = 0.2, least_seen: int =
             yield pd.DataFrame(rows, columns=["pair_table", "pair_id", "defect", "grams"])
 
     judged = pairs.select("pair_table", "pair_id", "question", "answer").mapInPandas(classify, "pair_table string, pair_id string, defect string, grams array<string>").distinct()
+    judged = cut(judged)
 
     def count_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 2000):  # bounds the counts held at once
-                c = ending_counts(b["answer"].iloc[k : k + 2000], known)
-                yield pd.DataFrame([(g, n if e else 0, n) for (g, e), n in c.items()], columns=["gram", "ends", "seen"])
+                seen, ends = ending_counts(b["answer"].iloc[k : k + 2000], known)
+                yield pd.DataFrame([(g, ends[g], n) for g, n in seen.items()], columns=["gram", "ends", "seen"])
 
     ends = answers.mapInPandas(count_ends, "gram string, ends bigint, seen bigint").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     asked = judged.where("defect = 'open'").select("pair_table", "pair_id", F.posexplode("grams").alias("k", "gram"))

@@ -250,3 +250,18 @@ def test_abuse_with_few_verdicts(spark):
 def test_folding():
     assert abuse.fold("p a t h e t i c") == "pathetic" and abuse.fold("brаindеad") == "braindead"
     assert abuse.segments("7H1GH$ @ND")[0][0] == "thighs" and abuse.fold("ex​plicit <|im_start|> é") == "explicit   e"
+
+
+def test_refusals_of_unseen_wording():
+    said = [
+        "I am not able to give you any names here.", "We cannot comment on ongoing work.", "I won't speculate about the reasons.", "Sorry, this is a matter that I am not permitted to discuss.", "I don't have any details on that person.",
+        "The documents do not provide sufficient information on this.", "It would not be right for me to talk about their health.", "Regrettably the question cannot be answered here.", "I would prefer not to go into this.",
+        "Je ne suis pas en mesure de vous communiquer ces noms.", "Je n'ai pas les données nécessaires.", "No me es posible revelar ese nombre.", "No dispongo de los datos necesarios.",
+        "Dazu darf ich Ihnen nichts sagen.", "Ich kann das leider nicht kommentieren.", "Mir fehlen dazu die Unterlagen, daher habe ich leider keine Angaben.",
+    ]
+    sound = [
+        "He could not answer the call because the line was cut.", "The crew cannot help with repairs until May.", "The report does not say who paid.", "Nobody was allowed to talk during the vote.", "I think the ferry sank. It can't be helped.",
+        "The minister said “I cannot answer that” and left.", "Le conseil ne peut pas payer la réparation.", "El puerto no tiene acceso al tren.", "Die Fähre kann nicht fahren, sagen die Leute.", "The context contains enough information about the pump.", "",
+    ]
+    assert [t for t in said if not pairs.refuses(t)] == []
+    assert [t for t in sound if pairs.refuses(t)] == []
