@@ -24,7 +24,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -197,7 +196,7 @@ def typing_cost(x: str, y: str, most: float = 3.0) -> float:
         if min(row) > most:
             return math.inf
         prev2, prev = prev, row
-    return prev[-1]
+    return prev[-1] if prev[-1] <= most else math.inf
 
 
 def kind_of(kind: str | None) -> str | None:
@@ -322,18 +321,27 @@ def learned_lexicon(entities: DataFrame) -> Lexicon:
     return Lexicon(qualifiers, given)
 
 
-def _near_keys(core: str) -> set[str]:
-    """Any two cores within `MOST` have one of these in common.
+#: Keys of a core: itself without up to two of its letters, and the set of its letters. Any two cores within `MOST` have one
+#: in common: that cost allows two errors of any sort, so that the rest is the same without two letters each; or three that
+#: each swap or double letters (0.9), which leaves the set of letters as it is.
+NEAR_KEYS = """concat(
+    array(core, concat('=', array_join(array_sort(array_distinct(split(core, ''))), ''))),
+    transform(sequence(1, length(core)), i -> concat(substring(core, 1, i - 1), substring(core, i + 1))),
+    if(length(core) < 2, array(), flatten(transform(sequence(1, length(core) - 1), i -> transform(sequence(i + 1, length(core)),
+        j -> concat(substring(core, 1, i - 1), substring(core, i + 1, j - i - 1), substring(core, j + 1)))))))"""
 
-    That cost allows two errors of any sort, so that the rest is the same without two letters each; or three that each swap
-    or double letters (0.9), which leaves the set of letters as it is. Lost letters at the very end may come on top, as
-    `typing_cost` stops only when no start of the other core is within the cost.
+
+def near_cores(kinds: DataFrame) -> DataFrame:
+    """Rows (kind, centre, core): for every core (kind, core) those that share a key with it, itself included.
+
+    Cores are letters a to z, so how many share a key is bounded by the words that two more letters make of it.
     """
-    out = {"=" + "".join(sorted(set(core[:n]))) for n in range(max(1, len(core) - 2), len(core) + 1)}
-    for n in range(max(0, len(core) - 2), len(core) + 1):
-        for d in range(3):
-            out.update("".join(c) for c in combinations(core[:n], max(0, n - d)))
-    return out
+    ids = kinds.select("kind", "core", F.xxhash64("kind", "core").alias("c"))
+    keyed = ids.select("c", F.explode(F.expr(f"array_distinct(transform({NEAR_KEYS}, k -> xxhash64(kind, k)))")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.collect_set("c").alias("met")).where("size(met) > 1").select("met")
+    met = groups.select(F.explode("met").alias("c"), "met").select("c", F.explode("met").alias("o")).where("c <> o").distinct()
+    both = met.join(ids.select("kind", F.col("core").alias("centre"), "c"), "c").join(ids.select("core", F.col("c").alias("o")), "o")
+    return both.select("kind", "centre", "core").unionByName(kinds.select("kind", F.col("core").alias("centre"), "core"))
 
 
 def qualifier_cost(kind: str, x: tuple[str, str, str], y: tuple[str, str, str]) -> float:
@@ -451,16 +459,7 @@ def link_variants(entities: DataFrame) -> DataFrame:
     known = {r["t"]: r["n"] for r in cores.mapInPandas(triples, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     usual = sum(known.values()) / max(1, len(known)) / 12 if known else 0.0
 
-    def near_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k in range(0, len(b), 1000):  # bounds the keys held at once
-                part = b.iloc[k : k + 1000]
-                yield pd.DataFrame([(kind, core, key) for kind, core in zip(part["kind"], part["core"]) for key in _near_keys(core)], columns=["kind", "core", "key"])
-
-    kinds = spellings.select("kind", "core").distinct()
-    keyed = kinds.mapInPandas(near_keys, "kind string, core string, key string").select("kind", "core", F.xxhash64("kind", "key").alias("key"))
-    met = keyed.withColumnRenamed("core", "centre").join(keyed, ["kind", "key"]).where("centre <> core").select("kind", "centre", "core").distinct()
-    near = cut(met.unionByName(kinds.select("kind", F.col("core").alias("centre"), "core")))
+    near = cut(near_cores(spellings.select("kind", "core").distinct()))
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
