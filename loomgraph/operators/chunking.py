@@ -22,10 +22,11 @@ def chunk_fixed(documents: DataFrame, size: int = 300, overlap: int = 50) -> Dat
     stride = size - overlap
     words = documents.select("doc_id", F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+"), F.lit(0)).alias("w")).where("size(w) > 0")
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - overlap) / F.lit(float(stride))).cast("int") - 1)
-    cut = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("ord")).select(
-        "doc_id", "ord",
-        F.slice("w", F.col("ord") * stride + 1, F.lit(size)).alias("part"),
-        F.length(F.array_join(F.slice("w", F.lit(1), F.col("ord") * stride), "")).alias("before"),
+    # characters of each stride, summed once; what lies before a window is a sum over strides, not over words
+    per = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice("w", k * stride + 1, F.lit(stride)), F.lit(0), lambda n, x: n + F.length(x)))
+    cut = words.select("doc_id", "w", per.alias("per"), F.explode(F.sequence(F.lit(0), last)).alias("ord")).select(
+        "doc_id", "ord", F.slice("w", F.col("ord") * stride + 1, F.lit(size)).alias("part"),
+        F.aggregate(F.slice("per", F.lit(1), F.col("ord")), F.lit(0), lambda n, x: n + x).alias("before"),
     )
     raw = cut.select("doc_id", "ord", F.size("part").alias("n_words"), "before", F.array_join("part", "").alias("raw"))
     rows = raw.withColumn("text", F.regexp_replace("raw", r"(?U)^\s+", ""))

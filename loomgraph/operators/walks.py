@@ -2,75 +2,65 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import both_ways, degrees
 from loomgraph.session import cut
 
-#: Edges up to which an iterative algorithm runs in memory: rounds of joins cost seconds each, whatever the graph's size.
+#: Edges up to which Louvain's sweeps are computed in the driver; beyond, the same sweeps run as joins.
 SMALL = 100_000
 
 
-def _collected(edges: DataFrame, small: int) -> list | None:
-    """The edges of positive weight, if there are at most `small`; else None."""
-    rows = edges.where("weight > 0").select("u", "v", "weight").limit(small + 1).collect()
-    return rows if len(rows) <= small else None
+def pagerank_batch(edges: DataFrame, nodes: DataFrame, queries: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 50, tol: float = 1e-10, every: int = 5) -> DataFrame:
+    """Rows (query_id, name, p) with p > 0: personalised PageRank of many queries (query_id) at once, alpha being the probability of following an edge.
 
-
-def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 50, tol: float = 1e-10, check_every: int = 5, small: int = SMALL) -> DataFrame:
-    """Rows (name, p): personalised PageRank by power iteration, alpha being the probability of following an edge.
-
-    nodes (name), seeds (name, weight). Negative seed weights count as 0 and unknown names are ignored; without a valid
-    seed all nodes are seeds. Nodes without edges send their mass to the seeds. Edges of weight 0 or less are not followed.
-    Graphs of up to `small` edges (and as many nodes) are iterated in memory. Beyond, a round joins the edges with one
-    row per node and sums by target; the lineage is cut each round, and the change is compared with tol every few rounds.
+    nodes (name), seeds (query_id, name, weight). Negative seed weights count as 0 and unknown names are ignored; a query
+    without a valid seed gets plain PageRank, computed once for all of them. Nodes without edges send their mass to the
+    seeds. Edges of weight 0 or less are not followed. A round joins the edges with the mass and sums by node; only nodes
+    that mass has reached have rows. Lineage is cut every few rounds, and then the change is compared with tol.
     """
     names = nodes.select("name").distinct()
-    w = names.join(seeds.groupBy("name").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w")), "name", "left").select("name", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total, n = w.agg(F.sum("w"), F.count(F.lit(1))).first()
-    if not n:
-        return names.select("name", F.lit(0.0).alias("p"))
-    held = _collected(edges, small) if n <= small else None
-    if held is not None:
-        start = {r["name"]: r["w"] / total if total else 1.0 / n for r in w.collect()}
-        return _pagerank_in_memory(edges.sparkSession, held, start, alpha, rounds, tol)
-    s = cut(w.select("name", (F.col("w") / total if total else F.lit(1.0 / n)).alias("s")))
-    adj = both_ways(edges.where("weight > 0"))
+    adj = both_ways(edges.where("weight > 0")).join(names.withColumnRenamed("name", "node"), "node", "left_semi").join(names.withColumnRenamed("name", "other"), "other", "left_semi")
     out = adj.groupBy("node").agg(F.sum("weight").alias("out"))
     step = cut(adj.join(out, "node").select("node", "other", (F.col("weight") / F.col("out")).alias("m")))
-    p = s.select("name", F.col("s").alias("p"))
-    for k in range(1, rounds + 1):
-        dangling = p.join(out, p.name == out.node, "left_anti").agg(F.sum("p")).first()[0] or 0.0
-        moved = step.join(p, step.node == p.name).groupBy("other").agg(F.sum(F.col("m") * F.col("p")).alias("got"))
-        new = s.join(moved, s.name == moved.other, "left").select("name", ((1 - alpha) * F.col("s") + alpha * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("s"))).alias("p"))
-        new = cut(new)
-        if k % check_every == 0 and k < rounds:
-            change = new.join(p.withColumnRenamed("p", "old"), "name").agg(F.sum(F.abs(F.col("p") - F.col("old")))).first()[0]
-            if change < tol:
-                return new
-        p = new
+    valid = seeds.join(names, "name", "left_semi").groupBy("query_id", "name").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w")).where("w > 0")
+    start = valid.join(valid.groupBy("query_id").agg(F.sum("w").alias("t")), "query_id").select("query_id", "name", (F.col("w") / F.col("t")).alias("s"))
+    got = _spread(step, start, alpha, rounds, tol, every)
+    plain = queries.select("query_id").distinct().join(valid.select("query_id").distinct(), "query_id", "left_anti")
+    if plain.isEmpty():
+        return got
+    n = max(1, names.count())
+    every_node = _spread(step, names.select(F.lit(0).alias("query_id"), "name", F.lit(1.0 / n).alias("s")), alpha, rounds, tol, every)
+    return got.unionByName(every_node.drop("query_id").crossJoin(F.broadcast(plain) if plain.count() <= 1000 else plain).select("query_id", "name", "p"))
+
+
+def _spread(step: DataFrame, start: DataFrame, alpha: float, rounds: int, tol: float, every: int) -> DataFrame:
+    """Rounds of p <- s * (1 - alpha + alpha * d) + alpha * (step p). Nodes without edges get mass from the seeds alone, so their sum d follows from their share of the seeds."""
+    apart = start.join(step.select(F.col("node").alias("name")).distinct(), "name", "left_anti").groupBy("query_id").agg(F.sum("s").alias("apart"))
+    s = cut(start.join(apart, "query_id", "left").select("query_id", "name", "s", F.coalesce("apart", F.lit(0.0)).alias("apart")))
+    x = alpha * F.col("apart")
+    p = before = s.select("query_id", "name", F.col("s").alias("p"))
+    for k in range(rounds):
+        lost = F.col("apart") * ((1 - alpha) * (1 - F.pow(x, F.lit(k))) / (1 - x) + F.pow(x, F.lit(k)))
+        back = s.select("query_id", "name", (F.col("s") * (1 - alpha + alpha * lost)).alias("p"))
+        moved = step.join(p.withColumnRenamed("name", "node"), "node").select("query_id", F.col("other").alias("name"), (alpha * F.col("m") * F.col("p")).alias("p"))
+        p = moved.unionByName(back).groupBy("query_id", "name").agg(F.sum("p").alias("p"))
+        if (k + 1) % every == 0 or k + 1 == rounds:
+            p = cut(p)
+            if tol > 0 and k + 1 < rounds:
+                change = p.join(before.withColumnRenamed("p", "old"), ["query_id", "name"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("c"))
+                if (change.agg(F.max("c")).first()[0] or 0.0) < tol:
+                    break
+            before = p
     return p
 
 
-def _pagerank_in_memory(spark, edges: list, start: dict[str, float], alpha: float, rounds: int, tol: float) -> DataFrame:
-    names = sorted(start)
-    at = {x: k for k, x in enumerate(names)}
-    used = [r for r in edges if r["u"] in at and r["v"] in at]
-    i = np.array([at[r["u"]] for r in used] + [at[r["v"]] for r in used], dtype=np.int64)
-    j = np.array([at[r["v"]] for r in used] + [at[r["u"]] for r in used], dtype=np.int64)
-    w = np.array([r["weight"] for r in used] * 2, dtype=np.float64)
-    out = np.bincount(i, weights=w, minlength=len(names))
-    s = np.array([start[x] for x in names])
-    p, lost = s.copy(), out == 0
-    for _ in range(rounds):
-        new = (1 - alpha) * s + alpha * (np.bincount(j, weights=p[i] * w / out[i], minlength=len(names)) + p[lost].sum() * s)
-        done = np.abs(new - p).sum() < tol
-        p = new
-        if done:
-            break
-    return spark.createDataFrame(list(zip(names, p.tolist())), "name string, p double")
+def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 50, tol: float = 1e-10) -> DataFrame:
+    """Rows (name, p) of every node for one query's seeds (name, weight); see pagerank_batch."""
+    one = F.lit(0).alias("query_id")
+    p = pagerank_batch(edges, nodes, edges.sparkSession.range(1).select(one), seeds.select(one, "name", "weight"), alpha, rounds, tol)
+    return nodes.select("name").distinct().join(p.select("name", "p"), "name", "left").fillna(0.0, ["p"])
 
 
 def spread_flow(edges: DataFrame, sources: DataFrame, hops: int = 3, decay: float = 0.8, threshold: float = 0.02) -> tuple[DataFrame, DataFrame]:
@@ -98,16 +88,25 @@ def relational_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, h
     """Rows (source, target, path, score): simple paths of up to `hops` edges through nodes that passed flow on.
 
     A path ends at its first target. The score is the mean flow of its nodes after the source (node flow, not path flow).
+    How many paths there are is bounded by the flow: a node passes shares of at least the threshold or none, and a hub
+    none. Paths grow only towards nodes from which a target can still be reached. `best_paths` keeps the best.
     """
     flow, expanded = spread_flow(edges, sources, hops, decay, threshold)
     adj = both_ways(edges).select("node", "other")
     goal = targets.select(F.col("name").alias("last")).distinct()
     reach = flow.select("source", F.col("node").alias("other"), "flow")
+    # per source, how many edges a node is from a target, through nodes that flow reached
+    far = near = reach.join(goal, reach.other == goal.last).select("source", F.col("other").alias("node"), F.lit(0).alias("far"))
+    for k in range(1, hops):
+        step = near.join(adj, "node").select("source", F.col("other").alias("node")).distinct().join(reach.select("source", F.col("other").alias("node")), ["source", "node"], "left_semi")
+        near = cut(step.join(far, ["source", "node"], "left_anti").withColumn("far", F.lit(k)))
+        far = far.unionByName(near)
+    reach = cut(reach.join(far.withColumnRenamed("node", "other"), ["source", "other"]))
     live = flow.where("hop = 0").select("source", F.array("node").alias("path"), F.col("node").alias("last"), F.lit(0.0).alias("total"))
     done = None
-    for _ in range(hops):
+    for k in range(1, hops + 1):
         go = live.join(expanded.withColumnRenamed("node", "last"), ["source", "last"], "left_semi")
-        step = go.join(adj, go.last == adj.node).where(~F.array_contains("path", F.col("other"))).join(reach, ["source", "other"])
+        step = go.join(adj, go.last == adj.node).where(~F.array_contains("path", F.col("other"))).join(reach, ["source", "other"]).where(F.col("far") <= hops - k)
         step = cut(step.select("source", F.concat("path", F.array("other")).alias("path"), F.col("other").alias("last"), (F.col("total") + F.col("flow")).alias("total")))
         hit = step.join(goal, "last", "left_semi")
         done = hit if done is None else done.unionByName(hit)
@@ -115,26 +114,51 @@ def relational_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, h
     return done.select("source", F.col("last").alias("target"), "path", (F.col("total") / (F.size("path") - 1)).alias("score"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int = 3, hops: int = 3) -> DataFrame:
-    """Rows (source, target, path, rank): the k shortest simple paths of up to `hops` edges, ties in the order of the path.
+def best_paths(paths: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """The k best paths of each group: by score, then fewer edges, then the order of names."""
+    from loomgraph.operators.ranking import best_of
+
+    return best_of(paths, by, [F.desc("score"), F.size("path"), F.col("path")], k)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int = 3, hops: int | None = None) -> DataFrame:
+    """Rows (source, target, path, rank): the k shortest simple paths by number of edges, ties in the order of the path.
 
-    Paths grow from the source and meet the target's neighbours halfway: the last step is a join with those alone.
+    First the distance of every node to each target is found, by rounds that stop when nothing new is reached (or at
+    `hops`); so a path grows only through nodes from which the target can be reached. Then paths grow by one edge a round;
+    a pair is closed when it has k paths, all of that length being found, and the rest goes on. `hops` bounds the paths;
+    without it the search ends when every pair is closed or no path can grow.
     """
     from loomgraph.operators.ranking import best_of
 
-    adj = both_ways(edges).select("node", "other")
-    live = pairs.select("source", "target", F.array("source").alias("path"), F.col("source").alias("last")).where("source <> target").distinct()
-    into = pairs.select("source", "target").distinct().join(adj, F.col("target") == F.col("node")).select("source", "target", F.col("other").alias("last"))
-    done = None
-    for hop in range(1, hops + 1):
-        hit = live.join(into, ["source", "target", "last"], "left_semi").select("source", "target", F.concat("path", F.array("target")).alias("path"))
+    want = pairs.select("source", "target").where("source <> target").distinct()
+    adj = cut(both_ways(edges).select("node", "other").distinct())
+    reach = new = want.select("target", F.col("target").alias("node"), F.lit(0).alias("far")).distinct()
+    far = 0
+    while hops is None or far < hops:
+        far += 1
+        new = cut(new.join(adj, "node").select("target", F.col("other").alias("node")).distinct().join(reach, ["target", "node"], "left_anti").withColumn("far", F.lit(far)))
+        if new.isEmpty():
+            break
+        reach = reach.unionByName(new)
+    reach = cut(reach)
+    live = want.join(reach.select("target", F.col("node").alias("source")), ["source", "target"], "left_semi").select("source", "target", F.array("source").alias("path"), F.col("source").alias("last"))
+    done, hop = None, 0
+    while hops is None or hop < hops:
+        hop += 1
+        step = live.join(adj, live.last == adj.node).where(~F.array_contains("path", F.col("other")))
+        step = step.join(reach.select("target", F.col("node").alias("other"), "far"), ["target", "other"])
+        if hops is not None:
+            step = step.where(F.col("far") + hop <= hops)
+        step = cut(step.select("source", "target", F.concat("path", F.array("other")).alias("path"), F.col("other").alias("last")))
+        hit = step.where("last = target").select("source", "target", "path")
         done = hit if done is None else done.unionByName(hit)
-        if hop < hops:
-            step = live.join(adj, live.last == adj.node).where(~F.array_contains("path", F.col("other")) & (F.col("other") != F.col("target")))
-            step = step.select("source", "target", F.concat("path", F.array("other")).alias("path"), F.col("other").alias("last"))
-            if hop == hops - 1:
-                step = step.join(into, ["source", "target", "last"], "left_semi")
-            live = cut(step)
+        closed = done.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("source", "target")
+        live = step.where("last <> target").join(closed, ["source", "target"], "left_anti")
+        if live.isEmpty():
+            break
+    if done is None:
+        done = live.select("source", "target", "path").limit(0)
     return best_of(done, ["source", "target"], [F.size("path"), F.col("path")], k)
 
 
@@ -153,180 +177,210 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     return sums.select((F.col("l") / total - resolution * F.col("dd") / (4.0 * total * total)).alias("modularity"))
 
 
-def _moved_in_memory(edges: list, resolution: float) -> dict[str, str]:
-    """Louvain over collected edges; a community is named by its smallest member."""
-    adj: dict[str, dict[str, float]] = {}
-    for r in edges:
-        if r["u"] != r["v"]:
-            for a, b in ((r["u"], r["v"]), (r["v"], r["u"])):
-                near = adj.setdefault(a, {})
-                near[b] = near.get(b, 0.0) + r["weight"]
-    loops = dict.fromkeys(adj, 0.0)
-    group = {n: {n} for n in adj}
-    total = sum(sum(x.values()) for x in adj.values())
-    while adj:
-        k = {n: sum(x.values()) + loops[n] for n, x in adj.items()}
-        com, tot, changed = {n: n for n in adj}, dict(k), False
-        for _ in range(50):
-            moves = 0
-            for n in sorted(adj):
-                links: dict[str, float] = {com[n]: 0.0}
-                for o, w in adj[n].items():
-                    links[com[o]] = links.get(com[o], 0.0) + w
-                tot[com[n]] -= k[n]
-                gains = {c: w - resolution * tot[c] * k[n] / total for c, w in links.items()}
-                best = min(gains, key=lambda c: (-round(gains[c], 9), c != com[n], c))
-                moves += best != com[n]
-                com[n] = best
-                tot[best] += k[n]
-            changed |= moves > 0
-            if not moves:
-                break
-        if not changed:
-            break
-        merged: dict[str, dict[str, float]] = {c: {} for c in com.values()}
-        inner, members = dict.fromkeys(merged, 0.0), {c: set() for c in merged}
+def _level_in_memory(adj: list, strength: list, m2: float, resolution: float, level: int, sweeps: int) -> dict[str, str]:
+    """The sweeps of `_level_by_joins` for collected rows (node, other, weight) and (node, k, hash)."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for n, o, w in adj:
+        near.setdefault(n, []).append((o, w))
+    k = {n: x for n, x, _ in strength}
+    mark = {n: h for n, _, h in strength}
+    com = {n: n for n in k}
+    for sweep in range(sweeps):
+        total: dict[str, float] = {}
         for n, c in com.items():
-            members[c] |= group[n]
-            inner[c] += loops[n]
-            for o, w in adj[n].items():
-                if com[o] == c:
-                    inner[c] += w
-                else:
-                    merged[c][com[o]] = merged[c].get(com[o], 0.0) + w
-        adj, loops, group = merged, inner, members
-    return {n: min(g) for g in group.values() for n in g}
-
-
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, sweeps: int = 4, levels: int = 3, small: int = SMALL) -> DataFrame:
+            total[c] = total.get(c, 0.0) + k[n]
+        new, wanted = dict(com), False
+        for n, now in com.items():
+            links = {now: 0.0}
+            for o, w in near.get(n, ()):
+                c = com[o]
+                links[c] = links.get(c, 0.0) + w
+            best = min(links, key=lambda c: (-round(links[c] - resolution * (total[c] - (k[n] if c == now else 0.0)) * k[n] / m2, 9), c != now, c))
+            wanted |= best != now
+            if (mark[n] >> ((level * sweeps + sweep) % 61)) & 1:
+                new[n] = best
+        com = new
+        if not wanted:
+            break
+    return com
+
+
+def _level_by_joins(adj: DataFrame, strength: DataFrame, m2: float, resolution: float, level: int, sweeps: int) -> DataFrame:
+    """Rows (node, c): in a sweep every node of one half (by a bit of its hash) moves to the neighbouring community of the greatest gain, until none wants to."""
+    com = strength.select("node", F.col("node").alias("c"))
+    for sweep in range(sweeps):
+        totals = com.join(strength, "node").groupBy("c").agg(F.sum("k").alias("tot"))
+        links = adj.join(com.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("weight").alias("w"))
+        now = com.withColumnRenamed("c", "now").join(strength, "node")
+        stay = now.select("node", F.col("now").alias("c"), F.lit(0.0).alias("w"))
+        options = links.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(now, "node").join(totals, "c")
+        rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * rest * F.col("k") / m2, 9)
+        best = options.groupBy("node").agg(F.min_by(F.struct("c", "now", "hash"), F.struct((-gain).alias("g"), (F.col("c") != F.col("now")).alias("moves"), "c")).alias("b"))
+        turn = F.shiftright("b.hash", (level * sweeps + sweep) % 61).bitwiseAND(F.lit(1)) == 1
+        moved = cut(best.select("node", F.when(turn, F.col("b.c")).otherwise(F.col("b.now")).alias("c"), (F.col("b.c") != F.col("b.now")).alias("wanted")))
+        com = moved.select("node", "c")
+        if moved.where("wanted").isEmpty():
+            break
+    return com
+
+
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, sweeps: int = 60, small: int = SMALL) -> DataFrame:
     """Rows (name, community): Louvain with synchronous local moves, for graphs of any size.
 
-    In a sweep every node of one random half (by hash) may move to the neighbouring community of the greatest modularity
-    gain, computed from the same state; halves alternate, so neighbours seldom swap. Communities are then merged into
-    nodes and the sweeps repeat. Ties go to the smaller community. Nodes without edges stay alone. Graphs of up to
-    `small` edges are moved in memory, one node after another in the order of names.
+    In a sweep every node of one half (which half, a hash and the sweep decide) may move to the neighbouring community of
+    the greatest modularity gain, computed from the same state, until no node wants to move (or for `sweeps` sweeps).
+    Communities are then merged into nodes and the sweeps repeat, until a level merges nothing. Ties go to the smaller
+    community; nodes without edges stay alone. Levels of up to `small` edges are computed in the driver, larger ones by
+    joins, with the same result.
     """
-    held = _collected(edges, small)
-    if held is not None:
-        found = _moved_in_memory(held, resolution)
-        rows = edges.sparkSession.createDataFrame(sorted(found.items()), "name string, c string")
-        return nodes.select("name").distinct().join(rows, "name", "left").select("name", F.coalesce("c", "name").alias("community"))
+    spark = edges.sparkSession
     member = nodes.select("name", F.col("name").alias("community")).distinct()
-    adj = cut(both_ways(edges.where("weight > 0")).groupBy("node", "other").agg(F.sum("weight").alias("weight")))
+    adj = cut(both_ways(edges.where("weight > 0 and u <> v")).groupBy("node", "other").agg(F.sum("weight").alias("weight")))
     m2 = adj.agg(F.sum("weight")).first()[0] or 0.0
     if not m2:
         return member
     own = adj.select("node").distinct().select("node", F.lit(0.0).alias("loop"))
-    for level in range(levels):
-        strength = cut(adj.groupBy("node").agg(F.sum("weight").alias("w")).join(own, "node", "full").select("node", (F.coalesce("w", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k")))
-        com = strength.select("node", F.col("node").alias("c"))
-        for sweep in range(sweeps):
-            totals = com.join(strength, "node").groupBy("c").agg(F.sum("k").alias("tot"))
-            links = adj.join(com.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("weight").alias("w"))
-            now = com.withColumnRenamed("c", "now").join(strength, "node")
-            stay = now.select("node", F.col("now").alias("c"), F.lit(0.0).alias("w"))
-            options = links.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(now, "node").join(totals, "c")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * rest * F.col("k") / m2, 9)
-            best = options.groupBy("node").agg(F.min_by(F.struct("c"), F.struct((-gain).alias("g"), (F.col("c") != F.col("now")).alias("moves"), "c")).alias("b"))
-            half = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == sweep % 2
-            com = cut(com.join(best, "node").select("node", F.when(half, F.col("b.c")).otherwise(F.col("c")).alias("c")))
+    level = 0
+    while True:
+        strength = cut(adj.groupBy("node").agg(F.sum("weight").alias("w")).join(own, "node", "full").select("node", (F.coalesce("w", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k"), F.xxhash64("node").alias("hash")))
+        held = adj.limit(2 * small + 1).collect() if small else None
+        if held is not None and len(held) <= 2 * small:
+            found = _level_in_memory([tuple(r) for r in held], [tuple(r) for r in strength.collect()], m2, resolution, level, sweeps)
+            com = spark.createDataFrame(sorted(found.items()), "node string, c string")
+        else:
+            com = _level_by_joins(adj, strength, m2, resolution, level, sweeps)
+        if com.where("node <> c").isEmpty():
+            return member
         member = cut(member.join(com.withColumnRenamed("node", "community"), "community", "left").select("name", F.coalesce("c", "community").alias("community")))
         merged = adj.join(com.withColumnRenamed("c", "cu"), "node").join(com.select(F.col("node").alias("other"), F.col("c").alias("cv")), "other").groupBy("cu", "cv").agg(F.sum("weight").alias("weight"))
         loops = own.join(com, "node").groupBy("c").agg(F.sum("loop").alias("l0"))
         inner = merged.where("cu = cv").select(F.col("cu").alias("c"), "weight")
         own = cut(loops.join(inner, "c", "left").select(F.col("c").alias("node"), (F.col("l0") + F.coalesce("weight", F.lit(0.0))).alias("loop")))
-        before = adj
         adj = cut(merged.where("cu <> cv").select(F.col("cu").alias("node"), F.col("cv").alias("other"), "weight"))
-        if adj.isEmpty() or adj.count() == before.count():
-            break
-    return member
+        level += 1
 
 
-def hierarchy(edges: DataFrame, nodes: DataFrame, most: int = 10, depth: int = 4) -> DataFrame:
+def hierarchy(edges: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """Rows (level, community, parent, name): parts larger than `most` are split again within themselves, until a split gives one part."""
     level0 = communities(edges, nodes).select(F.lit(0).alias("level"), "community", F.lit(None).cast("string").alias("parent"), "name")
-    out, current = level0, level0
-    for level in range(1, depth):
+    out = current = cut(level0)
+    level = 0
+    while True:
+        level += 1
         large = current.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("community")
         todo = cut(current.join(large, "community", "left_semi").select("community", "name"))
         if todo.isEmpty():
-            break
+            return out
         inner = edges.join(todo.select(F.col("name").alias("u"), F.col("community").alias("cu")), "u").join(todo.select(F.col("name").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv").drop("cu", "cv")
         parts = communities(inner, todo.select("name")).withColumnRenamed("community", "part")
         split = todo.join(parts, "name").withColumn("id", F.concat_ws("/", "community", "part"))
         several = split.groupBy("community").agg(F.count_distinct("part").alias("n")).where("n > 1").select("community")
         current = cut(split.join(several, "community", "left_semi").select(F.lit(level).alias("level"), F.col("id").alias("community"), F.col("community").alias("parent"), "name"))
         if current.isEmpty():
-            break
+            return out
         out = out.unionByName(current)
-    return out
 
 
-#: Edges that the greedy subgraph may bring to the driver; the ball around the prizes is cut to hops first and checked.
+#: Edges that the greedy subgraph may bring to the driver.
 MOST_EDGES = 200_000
 
 
-def collect_subgraph(edges: DataFrame, prizes: DataFrame, edge_cost: float = 1.0, most_nodes: int = 20, hops: int = 2) -> tuple[list[str], list[tuple[str, str]]]:
-    """(nodes, edges) of a greedy prize-collecting tree around the prizes (name, prize).
+def _around(edges: DataFrame, prizes: DataFrame, hops: int) -> list:
+    """The edges within `hops` of a prize; all edges if they are few. More than MOST_EDGES are an error."""
+    held = edges.select("u", "v", "weight").limit(MOST_EDGES + 1).collect()
+    if len(held) <= MOST_EDGES:
+        return held
+    adj = both_ways(edges).select("node", "other")
+    ball = prizes.select(F.col("name").alias("node")).distinct()
+    size = ball.count()
+    for _ in range(hops - 1):
+        ball = cut(ball.unionByName(adj.join(ball, "node", "left_semi").select(F.col("other").alias("node"))).distinct())
+        grown = ball.count()
+        if grown == size:
+            break
+        size = grown
+    inside = edges.join(ball.withColumnRenamed("node", "u"), "u", "left_semi").unionByName(edges.join(ball.withColumnRenamed("node", "v"), "v", "left_semi")).select("u", "v", "weight").distinct()
+    held = inside.limit(MOST_EDGES + 1).collect()
+    if len(held) > MOST_EDGES:
+        raise ValueError("too many edges around the prizes")
+    return held
+
 
-    The most valuable prize is the root; again and again the shortest path (by weight) from the tree to the prize of
-    the greatest gain is added, gain being the new nodes' prizes less edge_cost per edge; leaves worth less than an edge
-    are pruned. The search is sequential, so only edges within `hops` of a prize are collected; more than MOST_EDGES
-    raise an error. Ties go to the smaller name.
-    """
+def _cheapest(graph: dict[str, dict[str, float]], tree: set[str]) -> dict[str, list[str]]:
+    """For every node that can be reached, the cheapest path to it from the tree; ties go to the path found first, in the order of names."""
     import heapq
 
-    worth = {r["name"]: float(r["prize"]) for r in prizes.where("prize > 0").orderBy(F.desc("prize"), "name").limit(1000).collect()}
-    ball = prizes.select(F.col("name").alias("node")).distinct()
-    adj = both_ways(edges).select("node", "other", "weight")
-    for _ in range(hops - 1):
-        ball = ball.unionByName(adj.join(ball, "node", "left_semi").select(F.col("other").alias("node"))).distinct()
-    near = adj.join(ball, "node", "left_semi").limit(2 * MOST_EDGES + 1).collect()
-    if len(near) > 2 * MOST_EDGES:
-        raise ValueError("too many edges around the prizes; lower `hops` or the number of prizes")
-    graph: dict[str, dict[str, float]] = {}
-    for r in near:
-        graph.setdefault(r["node"], {})[r["other"]] = float(r["weight"])
-        graph.setdefault(r["other"], {})[r["node"]] = float(r["weight"])
-    worth = {k: v for k, v in worth.items() if k in graph}
-    if not worth:
+    path: dict[str, list[str]] = {}
+    heap: list[tuple[float, str, list[str]]] = [(0.0, n, [n]) for n in sorted(tree)]
+    while heap:
+        d, n, way = heapq.heappop(heap)
+        if n not in path:
+            path[n] = way
+            for o, w in graph.get(n, {}).items():
+                if o not in path:
+                    heapq.heappush(heap, (d + w, o, [*way, o]))
+    return path
+
+
+def greedy_tree(graph: dict[str, dict[str, float]], worth: dict[str, float], edge_cost: float = 1.0, most_nodes: int = 20) -> tuple[list[str], list[tuple[str, str]]]:
+    """(nodes, edges): from the most valuable prize on, the cheapest path to the prize of the greatest gain is added while one gains.
+
+    Gain: the prizes of the new nodes less edge_cost per edge. Then leaves worth less than an edge are pruned. Of equal
+    prizes the last by name is the root; of equal gains the first by name is added.
+    """
+    prize = {n: p for n, p in worth.items() if n in graph and p > 0}
+    if not prize:
         return [], []
-    tree, kept = {min(worth, key=lambda n: (-worth[n], n))}, set()
+    tree, kept = {max(prize, key=lambda n: (prize[n], n))}, set()
     while len(tree) < most_nodes:
-        dist, back = dict.fromkeys(tree, 0.0), {}
-        heap = [(0.0, n) for n in sorted(tree)]
-        seen: set[str] = set()
-        while heap:
-            d, n = heapq.heappop(heap)
-            if n in seen:
-                continue
-            seen.add(n)
-            for o, w in sorted(graph.get(n, {}).items()):
-                if w >= 0 and d + w < dist.get(o, float("inf")):
-                    dist[o], back[o] = d + w, n
-                    heapq.heappush(heap, (d + w, o))
-        best, gain = None, 0.0
-        for n in sorted(worth):
-            if n in tree or n not in back:
-                continue
-            path = [n]
-            while path[-1] not in tree:
-                path.append(back[path[-1]])
-            g = sum(worth.get(x, 0.0) for x in path[:-1]) - edge_cost * (len(path) - 1)
-            if g > gain and len(tree) + len(path) - 1 <= most_nodes:
-                best, gain = path, g
-        if best is None:
+        offers = []
+        for n, way in _cheapest(graph, tree).items():
+            if n in prize and n not in tree and len(tree) + len(way) - 1 <= most_nodes:
+                offers.append((sum(prize.get(x, 0.0) for x in way[1:]) - edge_cost * (len(way) - 1), way))
+        gain, way = max(offers, key=lambda x: (x[0], [-ord(c) for c in x[1][-1]]), default=(0.0, []))
+        if gain <= 0:
             break
-        tree.update(best)
-        kept |= {tuple(sorted(e)) for e in zip(best, best[1:])}
-    while True:
-        count: dict[str, int] = {}
-        for e in kept:
-            for n in e:
-                count[n] = count.get(n, 0) + 1
-        leaf = next((n for n in sorted(tree) if count.get(n) == 1 and worth.get(n, 0.0) < edge_cost), None)
-        if leaf is None:
-            return sorted(tree), sorted(kept)
-        tree.discard(leaf)
-        kept = {e for e in kept if leaf not in e}
+        tree.update(way)
+        kept |= {(min(e), max(e)) for e in zip(way, way[1:])}
+    poor = True
+    while poor and len(tree) > 1:
+        ends = [n for e in kept for n in e]
+        poor = {n for n in tree if ends.count(n) == 1 and prize.get(n, 0.0) < edge_cost}
+        tree -= poor
+        kept = {e for e in kept if not poor & {*e}}
+    return sorted(tree), sorted(kept)
+
+
+def prize_subgraphs(edges: DataFrame, prizes: DataFrame, edge_cost: float = 1.0, most_nodes: int = 20) -> DataFrame:
+    """Rows (query_id, nodes, edges) of a greedy prize-collecting tree for each query's prizes (query_id, name, prize).
+
+    A path gains only if it has fewer edges than the query's prizes are worth, so the edges within that distance of the
+    prizes decide; they are collected, and shipped to tasks that each grow whole trees. More than MOST_EDGES raise an
+    error. Queries without a known prize have an empty tree. Edges of negative weight are not followed.
+    """
+    import pandas as pd
+
+    p = prizes.where("prize > 0").groupBy("query_id", "name").agg(F.max("prize").cast("double").alias("prize"))
+    reach = p.groupBy("query_id").agg(F.sum("prize").alias("s")).agg(F.max("s")).first()[0] or 0.0
+    graph: dict[str, dict[str, float]] = {}
+    for r in _around(edges.where("weight >= 0"), p, max(1, min(most_nodes, int(reach / edge_cost)))):
+        for a, b in ((r["u"], r["v"]), (r["v"], r["u"])):
+            graph.setdefault(a, {})[b] = min(float(r["weight"]), graph.get(a, {}).get(b, float("inf")))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for q, ps in zip(b["query_id"], b["ps"]):
+                nodes, kept = greedy_tree(graph, {x["name"]: x["prize"] for x in ps}, edge_cost, most_nodes)
+                out.append((q, nodes, [{"u": u, "v": v} for u, v in kept]))
+            yield pd.DataFrame(out, columns=["query_id", "nodes", "edges"])
+
+    per = p.groupBy("query_id").agg(F.collect_list(F.struct("name", "prize")).alias("ps"))  # as many as a query has prizes
+    return per.mapInPandas(run, f"query_id {dict(prizes.dtypes)['query_id']}, nodes array<string>, edges array<struct<u:string,v:string>>")
+
+
+def collect_subgraph(edges: DataFrame, prizes: DataFrame, edge_cost: float = 1.0, most_nodes: int = 20) -> tuple[list[str], list[tuple[str, str]]]:
+    """(nodes, edges) of one query's prizes (name, prize); see prize_subgraphs."""
+    got = prize_subgraphs(edges, prizes.select(F.lit(0).alias("query_id"), "name", "prize"), edge_cost, most_nodes).first()
+    return (list(got["nodes"]), [(e["u"], e["v"]) for e in got["edges"]]) if got else ([], [])

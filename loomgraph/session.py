@@ -32,13 +32,15 @@ def build_session(app: str = "loomgraph", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests, local mode)."""
+    """The cluster's checkpoint folder; a temporary one only on a local master whose session names none. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "loomgraph-checkpoint")
 
 

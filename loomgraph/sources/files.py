@@ -25,6 +25,9 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class IndexConfig:
+    """Settings of a build."""
+
+    # The defaults
     chunk_size: int = 300
     overlap: int = 50
     entity_types: list[str] = field(default_factory=lambda: ["ORGANIZATION", "PERSON", "PROJECT", "LOCATION", "EVENT"])
