@@ -92,7 +92,8 @@ def split_oversized(units: DataFrame, limit: int = 400, overlap: int = 30) -> Da
             yield pd.DataFrame(rows, columns=["unit_id", "doc_id", "piece", "id", "text", "n_tokens", "at_from", "at_to"])
 
     fits = limit * 3 // 4  # a text of more words has at least two code points for each
-    long = units.select("id", F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("id").isNotNull() & (F.length("text") > 2 * fits)).distinct()
+    words = F.regexp_count("text", F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    long = units.select("id", F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("id").isNotNull() & (F.length("text") > 2 * fits) & (words > fits)).distinct()
     return long.mapInPandas(run, "unit_id string, doc_id bigint, piece int, id string, text string, n_tokens int, at_from int, at_to int")
 
 
