@@ -337,8 +337,9 @@ def near_cores(kinds: DataFrame) -> DataFrame:
     Cores are letters a to z, so how many share a key is bounded by the words that two more letters make of it.
     """
     ids = kinds.select("kind", "core", F.xxhash64("kind", "core").alias("c"))
+    # few bytes become many keys: not to be coalesced into one task
     width = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = ids.repartition(width, "c").select(  # few bytes become many keys: not to be coalesced into one task"c", F.explode(F.expr(f"array_distinct(transform({NEAR_KEYS}, k -> xxhash64(kind, k)))")).alias("key"))
+    keyed = ids.repartition(width, "c").select("c", F.explode(F.expr(f"array_distinct(transform({NEAR_KEYS}, k -> xxhash64(kind, k)))")).alias("key"))
     groups = keyed.groupBy("key").agg(F.collect_set("c").alias("met")).where("size(met) > 1").select("met")
     met = groups.select(F.explode("met").alias("c"), "met").select("c", F.explode("met").alias("o")).where("c <> o").distinct()
     both = met.join(ids.select("kind", F.col("core").alias("centre"), "c"), "c").join(ids.select("core", F.col("c").alias("o")), "o")
