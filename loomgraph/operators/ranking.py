@@ -23,8 +23,14 @@ def with_position(df: DataFrame, name: str, *order: str) -> DataFrame:
     return out.withColumn(name, (F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("_id", "_part", "_start")
 
 
-def budget_prefix(df: DataFrame, by: list[str], order: list[Column], tokens: Column, budget: int) -> DataFrame:
-    """Per group, the leading rows in the order whose running sum of tokens stays within the budget: kept up to the first overflow."""
+def budget_prefix(df: DataFrame, by: list[str], order: list[Column], tokens: Column, budget: int, least: int = 0) -> DataFrame:
+    """Per group, the leading rows in the order whose running sum of tokens stays within the budget: kept up to the first overflow.
+
+    If every row has at least `least` tokens, only so many rows can fit: a group limit below the shuffle then bounds what
+    a group brings together, whatever its size.
+    """
+    if least > 0:
+        df = df.withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_first") <= budget // least).drop("_first")
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("used_tokens", F.sum(tokens).over(w)).where(F.col("used_tokens") <= budget)
 

@@ -114,7 +114,7 @@ def report_rating(question, report):
     return F.when(is_broad(question), F.lit(3)).otherwise(F.least(F.lit(5), X.overlap(question, report)))
 
 
-def select_reports(queries: DataFrame, reports: DataFrame, threshold: int = 2, depth: int = 8) -> DataFrame:
+def select_reports(queries: DataFrame, reports: DataFrame, threshold: int = 2) -> DataFrame:
     """Rows (query_id, id): reports found top-down. A report rated below the threshold closes its subtree; a parent gives way to relevant children.
 
     queries (query_id, text), reports (id, parent, level, content). One join per level, over the open frontier only.
@@ -126,7 +126,7 @@ def select_reports(queries: DataFrame, reports: DataFrame, threshold: int = 2, d
     top = F.broadcast(q) if q.count() <= 1000 else q
     frontier = r.where("level = 0").crossJoin(top)
     found = None
-    for _ in range(depth):
+    while True:
         good = cut(frontier.where(report_rating(F.col("text"), F.col("content")) >= threshold).select("query_id", "text", "id", "parent"))
         found = good if found is None else found.unionByName(good)
         nxt = good.select("query_id", "text", F.col("id").alias("parent")).join(r, "parent")

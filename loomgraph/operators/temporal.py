@@ -80,3 +80,21 @@ def succession(facts: DataFrame, exclusive: list[str] = EXCLUSIVE) -> DataFrame:
     rows = facts.where(F.col("relation").isin(exclusive) & F.col("valid_from").isNotNull()).select("fact_id", "source", "relation", "target", "valid_from", "valid_to").distinct()
     nxt = F.lead("valid_from").over(w)
     return rows.withColumn("closed_to", F.least(F.coalesce("valid_to", nxt), F.coalesce(nxt, "valid_to")))
+
+
+def sample_timeline(spark) -> DataFrame:
+    """A small invented history to try the operators on, in the order in which it was recorded; one fact is already closed by hand."""
+    import datetime as dt
+
+    day = lambda x: dt.date.fromisoformat(x) if x else None
+    told = [
+        ("Ada Moss", "WORKED_AT", "Low Reef Station", "2014-01-01", "2018-01-01", "2018-05-02"), ("Ada Moss", "FOUNDED", "Weir Works", "2018-01-01", None, "2018-05-02"),
+        ("Ada Moss", "CEO_OF", "Weir Works", "2018-01-01", None, "2018-05-02"), ("Tam Brandt", "CTO_OF", "Weir Works", "2018-01-01", None, "2018-05-02"),
+        ("Kiln Yard", "SUPPLIED", "Weir Works", "2019-03-01", None, "2019-03-09"), ("Weir Works", "RUNS", "Project Lantern", "2020-02-01", None, "2020-02-20"),
+        ("Harbour Fund", "INVESTED_IN", "Weir Works", "2021-06-15", None, "2021-06-15"), ("Iris Okonedo", "LEADS", "Project Lantern", "2021-09-01", None, "2021-11-12"),
+        ("Project Lantern", "DETECTED", "2022 cable fault", "2022-07-08", None, "2022-09-01"), ("Iris Okonedo", "CTO_OF", "Weir Works", "2023-04-01", None, "2023-04-18"),
+        ("Tam Brandt", "ADVISES", "Weir Works", "2023-04-01", None, "2023-04-18"), ("Iris Okonedo", "CEO_OF", "Weir Works", "2024-10-01", None, "2024-10-05"),
+    ]
+    rows = [(k, s, r, t, day(a), day(b), day(rec), None, None) for k, (s, r, t, a, b, rec) in enumerate(told)]
+    closed = [(*row[:5], day("2023-12-31"), row[6], day("2023-11-20"), None) if row[2] == "SUPPLIED" else row for row in rows]
+    return replay(spark.createDataFrame(closed, FACTS))

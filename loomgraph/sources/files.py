@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field, fields
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,10 @@ class IndexConfig:
     embedder: str = "hashing:512"
 
 
-TABLES = ("text_units", "entities", "relationships", "communities", "community_reports", "claims", "vectors")
+TABLES = (
+    "text_units", "entities", "entity_descriptions", "entity_units", "entity_aliases", "relationships", "relationship_descriptions", "relationship_units", "communities",
+    "community_reports", "claims", "entity_vectors", "relationship_vectors", "text_unit_vectors", "report_vectors",
+)
 
 
 @dataclass
@@ -89,21 +93,36 @@ def load_index(spark: SparkSession, folder: str) -> Index:
     return Index(config, {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES if there(t)})
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A GraphML file of a graph that fits one file: at most `most` nodes and edges each, else an error."""
-    n, e = nodes.limit(most + 1).collect(), edges.limit(most + 1).collect()
-    if len(n) > most or len(e) > most:
-        raise ValueError("the graph is too large for one GraphML file")
-    root = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
-    g = ET.SubElement(root, "graph", edgedefault="undirected")
-
-    def add(parent: ET.Element, row: dict, skip: set[str]) -> None:
-        for k, v in row.items():
-            if k not in skip and v is not None:
-                ET.SubElement(parent, "data", key=k).text = json.dumps(v, default=str) if isinstance(v, (list, dict)) else str(v)
-
-    for r in n:
-        add(ET.SubElement(g, "node", id=r["name"]), r.asDict(), {"name"})
-    for r in e:
-        add(ET.SubElement(g, "edge", source=r["u"], target=r["v"]), r.asDict(), {"u", "v"})
-    ET.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (part, line): the elements of a GraphML document, nodes (part 1) and edges (part 2), made by the tasks."""
+
+    def element(kind: str, ends: dict[str, str]):
+        def run(batches):
+            for b in batches:
+                out = []
+                for row in b["row"]:
+                    held = json.loads(row)
+                    e = ET.Element(kind, {a: str(held.pop(c)) for a, c in ends.items()})
+                    for k, v in held.items():
+                        ET.SubElement(e, "data", key=k).text = json.dumps(v) if isinstance(v, (list, dict)) else str(v)
+                    out.append(ET.tostring(e, encoding="unicode"))
+                yield pd.DataFrame({"line": out})
+
+        return run
+
+    n = nodes.select(F.to_json(F.struct("*")).alias("row")).mapInPandas(element("node", {"id": "name"}), "line string").select(F.lit(1).alias("part"), "line")
+    e = edges.select(F.to_json(F.struct("*")).alias("row")).mapInPandas(element("edge", {"source": "u", "target": "v"}), "line string").select(F.lit(2).alias("part"), "line")
+    return n.unionByName(e)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GraphML file: the tasks write its elements as text, which is then joined on the driver part by part, never held as a whole.
+
+    Null attributes are left out, lists and structs are written as JSON. `path` is a file of the driver's machine.
+    """
+    keys = "".join(ET.tostring(ET.Element("key", {"id": f.name, "for": kind, "attr.name": f.name, "attr.type": "string"}), encoding="unicode") for kind, df, skip in (("node", nodes, {"name"}), ("edge", edges, {"u", "v"})) for f in df.schema if f.name not in skip)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">\n')
+        for r in graphml_lines(nodes, edges).toLocalIterator():
+            out.write(r["line"] + "\n")
+        out.write("</graph></graphml>\n")

@@ -3,12 +3,13 @@
 import datetime as dt
 import itertools
 import random
+from xml.etree import ElementTree
 
 import pytest
 
 from loomgraph.cli import main
-from loomgraph.operators import graphquery, models, resolution, temporal
-from loomgraph.plans.pipeline import ask, build_index
+from loomgraph.operators import answers, graphquery, methods, models, resolution, temporal
+from loomgraph.plans.pipeline import ask, build_index, evaluate
 from loomgraph.sources import files
 
 
@@ -21,6 +22,13 @@ def corpus(tmp_path_factory):
     return d
 
 
+@pytest.fixture(scope="module")
+def index(spark, corpus, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("index"))
+    files.save_index(build_index(files.load_documents(spark, str(corpus)), _gazetteer(spark)), folder)
+    return files.load_index(spark, folder)
+
+
 def _gazetteer(spark):
     return spark.createDataFrame([("Weir Works", "ORGANIZATION"), ("Kiln Yard", "ORGANIZATION"), ("Ada Moss", "PERSON"), ("Low Reef", "LOCATION")], "name string, type string")
 
@@ -34,17 +42,64 @@ def test_build_save_load_ask(spark, corpus, tmp_path):
     assert back.config == index.config
     assert {r.name for r in back.entities.collect()} == {"WEIR WORKS", "KILN YARD", "ADA MOSS", "LOW REEF"}
     assert back.relationships.count() >= 4 and [r.start_date for r in back.claims.collect()] == ["2021-03-01"]
-    assert ask(back, "Who runs Weir Works?").orderBy("rank").first().unit_id == "one-000"
+    assert {r.id for r in back.report_vectors.collect()} == {r.id for r in back.community_reports.collect()}
     assert back.communities_of("ADA MOSS").count() >= 1
     files.write_graphml(back.entities, back.relationships, str(tmp_path / "g.xml"))
     assert (tmp_path / "g.xml").read_text().count("<node ") == 4
+    ElementTree.parse(tmp_path / "g.xml")
+
+
+def test_every_method(spark, index):
+    for name in methods.NAMES:
+        got = ask(index, "Who runs Weir Works near Low Reef?", name).collect()
+        assert len(got) == 1 and got[0].asDict().keys() == {*methods.RESULT}
+        assert got[0].answer and got[0].context and got[0].sources and got[0].llm_calls >= 1, name
+    local = ask(index, "Who runs Weir Works near Low Reef?", "local").first()
+    assert "Ada Moss runs Weir Works near Low Reef. [Data: " in local.answer and local.sources[0] == "one"
+    assert [t for t in ("Reports", "Entities", "Relationships", "Sources") if f"-----{t}-----" in local.context] == ["Reports", "Entities", "Relationships", "Sources"]
+    dynamic = ask(index, "Who runs Weir Works?", "global", dynamic=True).first()
+    assert dynamic.method == "global-dynamic" and "Weir Works" in dynamic.answer
+    none = ask(index, "zebra", "global").first()
+    assert none.answer == answers.NO_DATA and none.sources == []
+    with pytest.raises(ValueError):
+        ask(index, "x", "nope")
+
+
+def test_model_answers(spark, index):
+    class Echo:
+        def complete(self, prompt, task):
+            return f"{task}: {prompt[-20:]}"
+
+    got = ask(index, "Who joined Kiln Yard?", "basic", make=Echo, model="echo").first()
+    assert got.answer.startswith("answer: ") and got.answer.endswith("joined Kiln Yard?")
+    rule = ask(index, "Who joined Kiln Yard?", "basic", make=models.RuleModel).first()
+    assert "Ada Moss joined Kiln Yard." in rule.answer
+
+
+def test_model_extraction(spark, corpus):
+    docs = files.load_documents(spark, str(corpus))
+    known = {r["name"]: r["type"] for r in _gazetteer(spark).collect()}
+    by_model = build_index(docs, _gazetteer(spark), make=lambda: models.RuleModel(known))
+    by_rule = build_index(docs, _gazetteer(spark))
+    for t, key in (("entities", ["name", "type", "degree", "frequency"]), ("relationships", ["u", "v", "weight"])):
+        assert sorted(map(tuple, by_model.tables[t].select(*key).collect())) == sorted(map(tuple, by_rule.tables[t].select(*key).collect())), t
+
+
+def test_evaluate(spark, index):
+    q = spark.createDataFrame([("q1", "Who joined Kiln Yard?", "single", "Ada Moss", ["two"]), ("q2", "What are the main themes?", "global", "Weir Works", [])], files.QUESTION)
+    results, means = evaluate(index, q, ["basic", "global"])
+    assert results.count() == 4 and {(r.system, r.group) for r in means.collect()} == {(s, g) for s in ("basic", "global") for g in ("all", "single", "global")}
 
 
 def test_command_line(spark, corpus, tmp_path, capsys):
     _gazetteer(spark).write.parquet(str(tmp_path / "gaz"))
     assert main(["index", "--input", str(corpus), "--gazetteer", str(tmp_path / "gaz"), "--output", str(tmp_path / "ix")]) == 0
-    assert main(["query", "--index", str(tmp_path / "ix"), "Who joined Kiln Yard?"]) == 0
-    assert "two-000" in capsys.readouterr().out
+    assert main(["query", "--index", str(tmp_path / "ix"), "--method", "basic", "--show-context", "Who joined Kiln Yard?"]) == 0
+    out = capsys.readouterr().out
+    assert "two-000" in out and "[method=basic llm_calls=1 sources=two" in out
+    (tmp_path / "q.jsonl").write_text('{"id": "q1", "question": "Who joined Kiln Yard?", "type": "single", "answer": "Ada Moss", "supporting_docs": ["two"]}\n')
+    assert main(["eval", "--index", str(tmp_path / "ix"), "--questions", str(tmp_path / "q.jsonl"), "--methods", "basic,hybrid", "--judge"]) == 0
+    assert "hybrid" in capsys.readouterr().out
 
 
 def test_questions(spark, tmp_path):
