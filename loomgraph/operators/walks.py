@@ -121,6 +121,16 @@ def best_paths(paths: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     return best_of(paths, by, [F.desc("score"), F.size("path"), F.col("path")], k)
 
 
+def narrated(paths: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """`paths` (path, score) with `line`: the names with the descriptions (u, v, description) of the edges between them, cut to 200 characters."""
+    rows = paths.withColumn("_id", F.xxhash64("path"))
+    hop = rows.select("_id", "path", F.posexplode(F.slice("path", F.lit(2), F.size("path"))).alias("k", "to")).withColumn("from_", F.col("path")[F.col("k")])
+    hop = hop.distinct().join(descriptions.select("u", "v", "description"), (F.least("from_", "to") == F.col("u")) & (F.greatest("from_", "to") == F.col("v")), "left")
+    step = F.concat(F.lit(" --["), F.substring(F.coalesce("description", F.lit("related to")), 1, 200), F.lit("]--> "), F.col("to"))
+    told = hop.groupBy("_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", step.alias("s")))), lambda x: x["s"]), "").alias("told"))
+    return rows.join(told, ["_id", "path"]).withColumn("line", F.format_string("%s%s  (score %.3f)", F.col("path")[0], F.col("told"), F.col("score"))).drop("_id", "told")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int = 3, hops: int | None = None) -> DataFrame:
     """Rows (source, target, path, rank): the k shortest simple paths by number of edges, ties in the order of the path.
 

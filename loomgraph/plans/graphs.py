@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators import answers, evaluation, graph, ranking, retrieval, search, temporal, walks
 from loomgraph.plans.texts import SPACE, terms_sql, tokens_sql
+from loomgraph.session import cut
 from loomgraph.sources.tables import table
 
 
@@ -66,9 +67,14 @@ def neighbourhood(spark, root):
     return graph.adjacency_lines(_edges(spark, root)).select("name", F.md5("line").alias("line_md5"))
 
 
+def _first_edge_description(spark, root):
+    r = table(spark, root, "relationships", "rel_id", "source", "target", "description").distinct().withColumnRenamed("rel_id", "seq")
+    return graph.edge_descriptions(r).groupBy("u", "v").agg(F.min(F.struct("first_seq", "description")).alias("f")).select("u", "v", F.col("f.description").alias("description"))
+
+
 def triples_text(spark, root):
-    r = _edges(spark, root).withColumn("description", F.concat(F.lit("related x"), F.col("n_mentions").cast("string")))
-    return graph.triples(r).select("line")
+    r = _edges(spark, root).join(_first_edge_description(spark, root), ["u", "v"], "left")
+    return graph.triples(r).select(F.md5("line").alias("line_md5"))
 
 
 def table_text(spark, root):
@@ -82,8 +88,10 @@ def node_link_json(spark, root):
 
 def cypher_export(spark, root):
     e = _edges(spark, root)
-    n = graph.rank_nodes(_nodes(spark, root), e)
-    return graph.merge_statements(n, e)
+    d = graph.node_descriptions(_mentions(spark, root)).groupBy("name").agg(F.min(F.struct("first_seq", "description")).alias("f")).select("name", F.col("f.description").alias("description"))
+    n = graph.rank_nodes(_nodes(spark, root), e).join(d, "name", "left")
+    out = graph.merge_statements(n, e.join(_first_edge_description(spark, root), ["u", "v"], "left"))
+    return out.select("kind", F.md5("statement").alias("statement_md5"))
 
 
 def modularity_by_type(spark, root):
@@ -99,7 +107,7 @@ def louvain_partition(spark, root):
 
 def community_hierarchy(spark, root):
     e = _edges(spark, root)
-    return walks.hierarchy(e, graph.with_ends(_nodes(spark, root), e), most=50, depth=3)
+    return walks.hierarchy(e, graph.with_ends(_nodes(spark, root), e), most=50)
 
 
 def _members(spark, root):
@@ -149,9 +157,7 @@ def _queries(spark, root):
 
 
 def map_scores(spark, root):
-    q, r = _queries(spark, root), _reports(spark, root).where("level = 0")
-    s = retrieval.map_score(F.col("text"), F.col("content"))
-    return r.crossJoin(F.broadcast(q)).select("query_id", "id", s.cast("int").alias("score")).where("score >= 20")
+    return answers.map_points(_queries(spark, root), _reports(spark, root), 20).select("query_id", "id", F.col("score").cast("int").alias("score"))
 
 
 def dynamic_selection(spark, root):
@@ -250,7 +256,9 @@ def local_units_ranked(spark, root):
 def dual_level_edges(spark, root):
     e = graph.rank_edges(_edges(spark, root))
     hits = _similar_nodes(spark, root, 10)
-    top = ranking.best_of(e.crossJoin(F.broadcast(_queries(spark, root).select("query_id"))), ["query_id"], [F.desc("combined_degree"), F.col("u"), F.col("v")], 5)
+    named = cut(e.select(F.concat_ws("|", "u", "v").alias("id"), F.concat_ws(" ", "u", "v").alias("text"), "u", "v"))
+    n, avg = search.corpus_stats(named, "text")
+    top = search.bm25(search.postings(named, "id", "text"), n, avg, _queries(spark, root), 5).join(named.select("id", "u", "v"), "id")
     return retrieval.dual_level_edges(hits, top.select("query_id", "u", "v", "rank"), e.withColumn("weight", F.round("weight", 6)), 10)
 
 
@@ -267,31 +275,29 @@ def rank_prizes(spark, root):
     return _similar_nodes(spark, root, 10).select("query_id", "name", (F.lit(11) - F.col("rank")).cast("double").alias("prize"))
 
 
-def _one_query_prizes(spark, root):
-    p = rank_prizes(spark, root)
-    first = p.agg(F.min("query_id").alias("query_id"))
-    return p.join(first, "query_id", "left_semi").select("name", "prize")
+def _sources(spark, root):
+    return rank_prizes(spark, root).select("name").distinct()
 
 
 def pcst_subgraph(spark, root):
-    nodes, kept = walks.collect_subgraph(_edges(spark, root), _one_query_prizes(spark, root))
-    return spark.createDataFrame(list(kept) or [], "u string, v string")
+    got = walks.prize_subgraphs(_edges(spark, root), rank_prizes(spark, root))
+    return got.select("query_id", F.explode("edges").alias("e")).select("query_id", "e.u", "e.v")
 
 
-def _seeds(spark, root):
-    return _one_query_prizes(spark, root).select("name", F.col("prize").alias("weight"))
+def _pagerank(spark, root):
+    e = _edges(spark, root)
+    q = _queries(spark, root).select("query_id")
+    return walks.pagerank_batch(e, graph.with_ends(_nodes(spark, root), e), q, rank_prizes(spark, root).select("query_id", "name", F.col("prize").alias("weight")))
 
 
-def ppr_fixed_rounds(spark, root):
-    e = _edges(spark, root)
-    p = walks.pagerank(e, graph.with_ends(_nodes(spark, root), e), _seeds(spark, root), rounds=5)
-    return p.select("name", F.round("p", 8).alias("p"))
+def ppr(spark, root):
+    """Personalised PageRank of every question, 50 rounds."""
+    return _pagerank(spark, root).select("query_id", "name", F.round("p", 8).alias("p")).where("p > 0")
 
 
 def passage_rank(spark, root):
-    e = _edges(spark, root)
-    p = walks.pagerank(e, graph.with_ends(_nodes(spark, root), e), _seeds(spark, root), rounds=3)
-    return retrieval.rank_passages(p, _node_units(spark, root)).select("unit_id", F.round("score", 6).alias("score"))
+    p = _pagerank(spark, root).join(_node_units(spark, root), "name").groupBy("query_id", "unit_id").agg(F.round(F.sum("p"), 8).alias("score"))
+    return p.where("score > 0")
 
 
 def seed_nodes(spark, root):
@@ -300,7 +306,7 @@ def seed_nodes(spark, root):
 
 
 def flow_spread(spark, root):
-    flow, _ = walks.spread_flow(_edges(spark, root), _one_query_prizes(spark, root).select("name"), 3, 0.8, 0.002)
+    flow, _ = walks.spread_flow(_edges(spark, root), _sources(spark, root), 3, 0.8, FLOW)
     return flow.select("source", "node", F.round("flow", 8).alias("flow"), "hop")
 
 
@@ -308,19 +314,27 @@ def _targets(spark, root):
     return table(spark, root, "gazetteer", "name").select(graph.node_key(F.col("name")).alias("name"))
 
 
+#: Shares of flow below this are not passed on: a bit lower than the usual 0.02, as the nodes of the test tables have more edges.
+FLOW = 0.01
+
+
+def _paths(spark, root):
+    return walks.relational_paths(_edges(spark, root), _sources(spark, root), _targets(spark, root), 3, 0.8, FLOW)
+
+
 def relational_paths(spark, root):
-    p = walks.relational_paths(_edges(spark, root), _one_query_prizes(spark, root).select("name"), _targets(spark, root), 2, 0.8, 0.002)
-    return p.select("source", "target", F.array_join("path", " > ").alias("path"), F.round("score", 8).alias("score"))
+    """The ten best paths of up to three edges from each entity near a question to the gazetteer's names."""
+    p = _paths(spark, root).withColumn("score", F.round("score", 8))
+    return walks.best_paths(p, ["source"], 10).select("source", "target", F.array_join("path", " > ").alias("path"), "score", "rank")
 
 
 def path_text(spark, root):
-    p = walks.relational_paths(_edges(spark, root), _one_query_prizes(spark, root).select("name"), _targets(spark, root), 2, 0.8, 0.002)
-    return p.select(F.format_string("%s  (score %.3f)", F.array_join("path", " --[related]--> "), F.round("score", 8)).alias("line"))
+    p = walks.best_paths(_paths(spark, root).withColumn("score", F.round("score", 8)), ["source"], 10)
+    return walks.narrated(p, _first_edge_description(spark, root)).select("source", "rank", F.md5("line").alias("line_md5"))
 
 
 def k_shortest_bounded(spark, root):
-    src = _one_query_prizes(spark, root).select(F.col("name").alias("source"))
-    pairs = src.crossJoin(F.broadcast(_targets(spark, root).select(F.col("name").alias("target"))))
+    pairs = _sources(spark, root).select(F.col("name").alias("source")).crossJoin(F.broadcast(_targets(spark, root).select(F.col("name").alias("target"))))
     return walks.shortest_paths(_edges(spark, root), pairs, 3, 3).select("source", "target", F.array_join("path", " > ").alias("path"), "rank")
 
 
@@ -388,9 +402,8 @@ def questions_answered(spark, root):
 
 
 def global_answers(spark, root):
-    r, q = _reports(spark, root), _queries(spark, root)
-    top = r.where("level = 0")
-    return answers.reduce_points(answers.map_points(q, top), q, answers.report_batches(top, 100))
+    r, q = cut(_reports(spark, root)), _queries(spark, root)
+    return answers.reduce_points(answers.map_points(q, r), q, answers.report_batches(r, 3000))
 
 
 def drift_follow_ups(spark, root):
@@ -414,7 +427,7 @@ def queries() -> dict:
         global_answers, drift_follow_ups, extractive_summaries, substituted_context, node_merge, edge_merge, degree_rank, combined_degree, canonical_rewrite, alias_by_token_subset, edit_similarity, neighbourhood, triples_text, table_text, node_link_json, cypher_export,
         modularity_by_type, louvain_partition, community_hierarchy, community_context, community_reports, reports_at_level, map_scores, dynamic_selection,
         cosine_topk, cosine_topk_batch, vector_append, hashed_vectors_md5, hashed_vectors_blake, bm25_topk, rrf_fusion, hybrid_retrieval, basic_context_budget,
-        query_entities, local_edges_ranked, local_units_ranked, dual_level_edges, keyword_split, rank_prizes, pcst_subgraph, ppr_fixed_rounds, passage_rank, seed_nodes,
+        query_entities, local_edges_ranked, local_units_ranked, dual_level_edges, keyword_split, rank_prizes, pcst_subgraph, ppr, passage_rank, seed_nodes,
         flow_spread, relational_paths, path_text, k_shortest_bounded, as_of_snapshot, known_at_snapshot, fact_holders, facts_replayed, facts_scd2,
         answer_scores, eval_grouping_sets, judge_pairs, judge_pivot, questions_answered,
     )}
@@ -490,19 +503,23 @@ qe as (select * from (select query_id, name, row_number() over (partition by que
   (select query_id, name, min(tier) as tier, arg_min(o, tier) as o from (select query_id, name, 0 as tier, frequency as o from named union all select query_id, id, 1, rank from sim) group by all)) where rank <= 10)
 """
 _PRIZES = "with " + _N + "," + _E + "," + _Q + "," + _SIM + """,
-pz as (select id as name, (11 - rank)::double as prize from sim where rank <= 10 and query_id = (select min(query_id) from sim))
+pq as (select query_id, id as name, (11 - rank)::double as prize from sim where rank <= 10),
+pz as (select distinct name from pq)
 """
 
 
-def _ppr_sql(rounds: int) -> str:
+def _ppr_sql(rounds: int = 50) -> str:
     out = _PRIZES + """,
-sd as (select al.name, coalesce(coalesce(prize, 0) / (select sum(prize) from pz where name in (select name from al)), 1.0::double / (select count(*) from al)) as s from al left join pz using (name)),
-pa as (select * from adj where weight > 0), po as (select node, sum(weight) as o from pa group by node), p0 as (select name, s as p from sd)
+po as (select node, sum(weight) as o from adj where weight > 0 group by node),
+st as materialized (select adj.node, adj.other, adj.weight / po.o as m from adj join po using (node) where weight > 0),
+s0 as (select query_id, name, prize / sum(prize) over (partition by query_id) as s from pq where name in (select name from al)),
+sd as materialized (select s0.*, coalesce((select sum(z.s) from s0 z where z.query_id = s0.query_id and z.name not in (select node from po)), 0) as apart from s0), p0 as (select query_id, name, s as p from sd)
 """
     for k in range(1, rounds + 1):
+        x = "(0.85::double * apart)"
         out += f""",
-g{k} as (select pa.other as name, sum(p.p * pa.weight / po.o) as got from pa join po using (node) join p{k - 1} p on p.name = pa.node group by pa.other),
-p{k} as (select sd.name, 0.15 * s + 0.85 * (coalesce(got, 0) + (select coalesce(sum(p), 0) from p{k - 1} where name not in (select node from po)) * s) as p from sd left join g{k} using (name))
+p{k} as materialized (select query_id, name, sum(p) as p from (select query_id, other as name, 0.85::double * m * p as p from st join p{k - 1} z on z.name = st.node
+  union all select query_id, name, s * (0.15::double + 0.85::double * apart * (0.15::double * (1 - pow({x}, {k - 1})) / (1 - {x}) + pow({x}, {k - 1}))) from sd) group by all)
 """
     return out
 
@@ -513,20 +530,27 @@ f0 as (select name as source, name as node, 1.0::double as flow, 0 as hop from p
 """
     for k in range(1, hops + 1):
         out += f""",
-x{k} as (select source, node, 0.8 * flow / degree as share from f{k - 1} join deg using (node) where 0.8 * flow / degree >= 0.002),
-f{k} as (select source, adj.other as node, sum(share) as flow, {k} as hop from x{k} join adj using (node) where not exists (select 1 from a{k - 1} a where a.source = x{k}.source and a.node = adj.other) group by source, adj.other),
+x{k} as materialized (select source, node, 0.8 * flow / degree as share from f{k - 1} join deg using (node) where 0.8 * flow / degree >= {FLOW}),
+f{k} as materialized (select source, adj.other as node, sum(share) as flow, {k} as hop from x{k} join adj using (node) where not exists (select 1 from a{k - 1} a where a.source = x{k}.source and a.node = adj.other) group by source, adj.other),
 a{k} as (select * from a{k - 1} union all select * from f{k})
 """
     return out
 
 
-_PATHS = _flow_sql(2) + f""",
-tg as (select {_key('name')} as name from gazetteer), ex as (select source, node from x1 union select source, node from x2),
-s1 as (select f0.source, adj.other as last, [f0.source, adj.other] as path, a.flow as total from f0 join ex on ex.source = f0.source and ex.node = f0.node join adj on adj.node = f0.node join a2 a on a.source = f0.source and a.node = adj.other where adj.other <> f0.source),
-s2 as (select s1.source, adj.other as last, list_append(path, adj.other) as path, total + a.flow as total from s1 join ex on ex.source = s1.source and ex.node = s1.last join adj on adj.node = s1.last join a2 a on a.source = s1.source and a.node = adj.other
-  where s1.last not in (select name from tg) and not list_contains(path, adj.other)),
-pt as (select source, last as target, path, total / (len(path) - 1) as score from (select * from s1 union all select * from s2) where last in (select name from tg))
+def _step_sql(k: int) -> str:
+    return f"""s{k} as (select s{k - 1}.source, adj.other as last, list_append(path, adj.other) as path, total + a.flow as total from s{k - 1} join ex on ex.source = s{k - 1}.source and ex.node = s{k - 1}.last join adj on adj.node = s{k - 1}.last join a3 a on a.source = s{k - 1}.source and a.node = adj.other
+  where s{k - 1}.last not in (select name from tg) and not list_contains(path, adj.other))"""
+
+
+_PATHS = _flow_sql(3) + f""",
+tg as (select {_key('name')} as name from gazetteer), ex as (select source, node from x1 union select source, node from x2 union select source, node from x3),
+s1 as (select f0.source, adj.other as last, [f0.source, adj.other] as path, a.flow as total from f0 join ex on ex.source = f0.source and ex.node = f0.node join adj on adj.node = f0.node join a3 a on a.source = f0.source and a.node = adj.other where adj.other <> f0.source),
+""" + _step_sql(2) + "," + _step_sql(3) + """,
+pt as (select source, last as target, path, round(total / (len(path) - 1), 8) as score from (select * from s1 union all select * from s2 union all select * from s3) where last in (select name from tg)),
+pb as (select * from (select *, row_number() over (partition by source order by score desc, len(path), path) as rank from pt) where rank <= 10)
 """
+_ED = f"""ed as (select u, v, arg_min(description, seq) as description from (select rel_id as seq, least({_key('source')}, {_key('target')}) as u, greatest({_key('source')}, {_key('target')}) as v, min(description) as description from relationships where description <> '' group by all) group by u, v)"""
+
 _MEMBERS = """
 mem as (select 0 as level, type as community, null as parent, name from n where type <> '' union all select 1, type || '/' || name[1], type, name from n where type <> ''),
 md as (select mem.*, coalesce(degree, 0) as degree from mem left join deg on deg.node = name)
@@ -573,18 +597,19 @@ def oracles() -> dict[str, str]:
         "alias_by_token_subset": rf"with x as (select distinct {_key('name')} as name, upper(type) as type from entities where type is not null), n as (select name, type, list_distinct(string_split(regexp_replace(array_to_string(regexp_extract_all(regexp_replace(name, '[''’]S\b', '', 'g'), '[A-Z0-9]+'), ' '), '^(({'|'.join(X.TITLES)})( |$))+', ''), ' ')) as words from x), k as (select * from n where len(words) > 0 and not list_contains(words, '')) select a.name as alias, a.type, min(b.name) as canonical from k a join k b on a.type = b.type and len(a.words) < len(b.words) and list_has_all(b.words, a.words) group by a.name, a.type having count(distinct b.name) = 1",
         "edit_similarity": "select fact_id, round(1 - levenshtein(source, target)::double / greatest(length(source), length(target), 1), 6) as similarity from (select distinct fact_id, regexp_replace(source, '[^\\x00-\\x7f]', '~', 'g') as source, regexp_replace(target, '[^\\x00-\\x7f]', '~', 'g') as target from facts)",
         "neighbourhood": w + _N + "," + _E + "select node as name, md5(node || ': ' || string_agg(distinct other, ', ' order by other)) as line_md5 from adj group by node",
-        "triples_text": w + _N + "," + _E + "select '(' || u || ', related x' || n_mentions || ', ' || v || ')' as line from e",
+        "triples_text": w + _N + "," + _E + "," + _ED + " select md5('(' || u || ', ' || coalesce(description, '') || ', ' || v || ')') as line_md5 from e left join ed using (u, v)",
         "table_text": w + _N + "," + _E + "select replace(u, '|', '/') || '|' || replace(v, '|', '/') || '|' || combined_degree as line from ec",
         "node_link_json": w + _N + """select name, '{"id":' || to_json(name) || ',"type":' || to_json(type) || ',"frequency":' || frequency || '}' as node from n""",
-        "cypher_export": w + _N + "," + _E + r"""select 'node' as kind, 'MERGE (n:Entity:' || coalesce(nullif(array_to_string(list_transform(list_filter(regexp_split_to_array(type, '[^A-Za-z0-9]+'), lambda p: p <> ''), lambda p: upper(p[1]) || lower(p[2:])), ''), ''), 'Thing') || ' {name: ' || to_json(name) || '}) SET n.degree = ' || coalesce(degree, 0) as statement from n left join deg on node = name
-            union all select 'edge', 'MATCH (a:Entity {name: ' || to_json(u) || '}), (b:Entity {name: ' || to_json(v) || '}) MERGE (a)-[r:RELATED_TO]->(b) SET r.weight = ' || printf('%.2f', weight) from e""",
+        "cypher_export": w + _N + "," + _E + "," + _ED + r""", nd as (select name, arg_min(description, seq) as description from m where description <> '' group by name)
+            select kind, md5(statement) as statement_md5 from (select 'node' as kind, 'MERGE (n:Entity:' || coalesce(nullif(array_to_string(list_transform(list_filter(regexp_split_to_array(type, '[^A-Za-z0-9]+'), lambda p: p <> ''), lambda p: upper(p[1]) || lower(p[2:])), ''), ''), 'Thing') || ' {name: ' || to_json(name) || '}) SET n.description = ' || to_json(coalesce(description, '')) || ', n.degree = ' || coalesce(degree, 0) as statement from n left join deg on node = name left join nd using (name)
+            union all select 'edge', 'MATCH (a:Entity {name: ' || to_json(u) || '}), (b:Entity {name: ' || to_json(v) || '}) MERGE (a)-[r:RELATED_TO]->(b) SET r.description = ' || to_json(coalesce(description, '')) || ', r.weight = ' || printf('%.2f', weight) from e left join ed using (u, v))""",
         "modularity_by_type": w + _N + "," + _E + ", l as (select a.type as c, sum(weight) as l from e join al a on a.name = u join al b on b.name = v where a.type = b.type group by 1), d as (select type as c, sum(weight) as d from adj join al on al.name = node group by 1), mm as (select sum(weight) as m from e) select round(sum(coalesce(l, 0) / mm.m - (d / (2 * mm.m)) * (d / (2 * mm.m))), 6) as modularity from d left join l using (c), mm",
         "community_context": w + _N + "," + _E + "," + _MEMBERS + f""", ents as (select community, name, sum({tokens_sql("name || '|' || degree")}) over (partition by community order by degree desc, name rows unbounded preceding) as used_tokens from md),
             rel as (select a.community, u, v, sum({tokens_sql("u || '|' || v || '|' || combined_degree")}) over (partition by a.community order by combined_degree desc, u, v rows unbounded preceding) as used_tokens from ec join mem a on a.name = u join mem b on b.name = v and a.community = b.community)
             select community, 'entity' as kind, name as a, '' as b, used_tokens from ents where used_tokens <= 200 union all select community, 'relationship', u, v, used_tokens from rel where used_tokens <= 200""",
         "community_reports": _REPORTS + "select * from rp",
         "reports_at_level": _REPORTS + "select id, level, rating from rp where level = 1 or level < 1 and id not in (select parent from rp where parent is not null)",
-        "map_scores": _REPORTS + "," + _Q + f"select * from (select query_id, rp.id, least(100, {_rule_sql('40 + 10 * {n}', '25 * {n}')}) as score from q, rp where level = 0) where score >= 20",
+        "map_scores": _REPORTS + "," + _Q + f"select * from (select query_id, rp.id, least(100, {_rule_sql('40 + 10 * {n}', '25 * {n}')}) as score from q, rp) where score >= 20",
         "dynamic_selection": _REPORTS + "," + _Q + f", rt as (select query_id, rp.id, parent, level, {_rule_sql('3', 'least(5, {n})')} as rating from q, rp), g0 as (select * from rt where level = 0 and rating >= 1), g1 as (select rt.* from rt join g0 on g0.query_id = rt.query_id and rt.parent = g0.id where rt.rating >= 1) select query_id, id from g1 union all select query_id, id from g0 where not exists (select 1 from g1 where g1.query_id = g0.query_id and g1.parent = g0.id)",
         "cosine_topk": "select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id = 7)) where rank <= 10",
         "cosine_topk_batch": "select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 100 = 0)) where rank <= 10",
@@ -602,18 +627,20 @@ def oracles() -> dict[str, str]:
             ct as (select query_id, unit_id, count(*) as n from o join (select distinct least(a, b) as u, greatest(a, b) as v, unit_id from r where unit_id is not null) using (u, v) group by all), tx as (select distinct id as unit_id, {tokens_sql('text')} as n_tokens from text_units),
             b as (select query_id, unit_id, min(rank) as best_rank from qe join nu using (name) group by all), c as (select b.*, coalesce(n, 0) as n_cited, n_tokens from b left join ct using (query_id, unit_id) join tx using (unit_id))
             select query_id, unit_id, best_rank, n_cited, used_tokens from (select *, sum(n_tokens) over (partition by query_id order by best_rank, n_cited desc, unit_id rows unbounded preceding) as used_tokens from c) where used_tokens <= 1500""",
-        "dual_level_edges": w + _N + "," + _E + "," + _Q + "," + _SIM + """, nr as (select *, row_number() over (partition by query_id order by combined_degree desc, round(weight, 6) desc, u, v) as r from (select distinct query_id, u, v, weight, combined_degree from ec join (select query_id, id from sim where rank <= 10) on id = u or id = v)),
-            gl as (select query_id, u, v, r from q, (select u, v, row_number() over (order by combined_degree desc, u, v) as r from ec) where r <= 5), bo as (select query_id, u, v, case when r <= 10 then 0 else 2 end as part, r from nr union all select query_id, u, v, 1, r from gl),
+        "dual_level_edges": w + _N + "," + _E + "," + _Q + "," + _SIM + "," + _bm25_sql("rl", "(select u || '|' || v as rid, u || ' ' || v as label from ec)", "rid", "label", 5) + """, nr as (select *, row_number() over (partition by query_id order by combined_degree desc, round(weight, 6) desc, u, v) as r from (select distinct query_id, u, v, weight, combined_degree from ec join (select query_id, id from sim where rank <= 10) on id = u or id = v)),
+            gl as (select query_id, u, v, rank as r from rl join ec on ec.u || '|' || ec.v = rl.id), bo as (select query_id, u, v, case when r <= 10 then 0 else 2 end as part, r from nr union all select query_id, u, v, 1, r from gl),
             f as (select query_id, u, v, min(part) as part, arg_min(r, part) as r from bo group by all) select query_id, u, v, row_number() over (partition by query_id order by part, r, u, v) as position from f""",
         "keyword_split": w + _Q + f", nm as (select distinct name from (select name from gazetteer union all select name from entities)), lo as (select query_id, list_sort(list_distinct(list(upper(name)))) as low from q, nm where len(regexp_extract_all(upper(name), {_WORDS})) > 0 and contains(' ' || array_to_string(regexp_extract_all(upper(text), {_WORDS}), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(upper(name), {_WORDS}), ' ') || ' ') group by query_id), j as (select query_id, text, coalesce(low, []) as low from q left join lo using (query_id)) select query_id, array_to_string(low, ';') as low, array_to_string(list_sort(list_filter(list_distinct({terms_sql('text')}), lambda t: not list_contains({terms_sql("array_to_string(low, ' ')")}, t))), ';') as high from j",
         "rank_prizes": w + _N + "," + _Q + "," + _SIM + "select query_id, id as name, (11 - rank)::double as prize from sim where rank <= 10",
-        "ppr_fixed_rounds": _ppr_sql(5) + "select name, round(p, 8) as p from p5",
-        "passage_rank": _ppr_sql(3) + ", nu as (select distinct name, unit_id from m where unit_id is not null) select unit_id, round(sum(p), 6) as score from nu join p3 using (name) group by unit_id",
+        "ppr": _ppr_sql() + "select query_id, name, round(p, 8) as p from p50 where round(p, 8) > 0",
+        "passage_rank": _ppr_sql() + ", nu as (select distinct name, unit_id from m where unit_id is not null) select * from (select query_id, unit_id, round(sum(p), 8) as score from nu join p50 using (name) group by query_id, unit_id) where score > 0",
         "seed_nodes": w + _N + "," + _Q + "," + _SIM + "," + _NAMED + """, b as (select query_id, name, max(score) as score from (select query_id, name, 1.0::double as score from named union all select query_id, id, score from sim where rank <= 5) group by all),
             t as (select *, row_number() over (partition by query_id order by score desc, name) as k from b) select query_id, name, round(score / greatest(frequency, 1), 6) as weight from t join n using (name) where k <= 5 and score > 0""",
         "flow_spread": _flow_sql(3) + "select source, node, round(flow, 8) as flow, hop from a3",
-        "relational_paths": _PATHS + "select source, target, array_to_string(path, ' > ') as path, round(score, 8) as score from pt",
-        "path_text": _PATHS + "select array_to_string(path, ' --[related]--> ') || '  (score ' || printf('%.3f', round(score, 8)) || ')' as line from pt",
+        "relational_paths": _PATHS + "select source, target, array_to_string(path, ' > ') as path, score, rank from pb",
+        "path_text": _PATHS + "," + _ED + """, pn as (select source, rank, score, path, unnest(range(1, len(path))) as k from pb),
+            ph as (select pn.*, ' --[' || substr(coalesce(description, 'related to'), 1, 200) || ']--> ' || path[k + 1] as s from pn left join ed on u = least(path[k], path[k + 1]) and v = greatest(path[k], path[k + 1]))
+            select source, rank, md5(path[1] || string_agg(s, '' order by k) || '  (score ' || printf('%.3f', score) || ')') as line_md5 from ph group by source, rank, path, score""",
         "k_shortest_bounded": _PRIZES + f""", pr as (select pz.name as source, t.name as target from pz, (select {_key('name')} as name from gazetteer) t where pz.name <> t.name),
             k1 as (select source, target, [source, target] as path from pr join adj on node = source and other = target),
             k2 as (select source, target, [source, a.other, target] as path from pr join adj a on a.node = source join adj b on b.node = a.other and b.other = target where a.other <> target),

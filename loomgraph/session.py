@@ -61,13 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared folder."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone: what it wrote stays in the shared folder
+        pass
+
+
 def remove_cuts() -> None:
     """Remove the tables written by `cut`; call it when their results have been used."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone: what it wrote stays in the shared folder
-            pass
+        forget(*_WRITTEN.pop())
