@@ -167,9 +167,9 @@ s1 as (select unit_id, list_filter(list_transform(l, lambda s: regexp_replace(re
 s2 as (select unit_id, unnest(l) as raw, unnest(range(len(l))) as sent from s1),
 s as (select unit_id, cast(sent as integer) as sent, regexp_replace(array_to_string(regexp_extract_all(replace(raw, '**', ''), '[^""" + SPACE + r"""]+'), ' '), '^[#*>\- ]+|[#*>\- ]+$', '', 'g') as sentence from s2),
 g as (select distinct name, upper(coalesce(type, '')) as type from (select name, type from gazetteer union all select name, type from entities) where len(regexp_extract_all(name, '[^\s.,;:!?()"'']+')) > 0),
-m0 as (select unit_id, sent, name, type, regexp_extract(sentence, '(?s)^(|.*?[^A-Za-z0-9_.])' || regexp_escape(name) || '([^A-Za-z0-9_]|$)', 0) as hit,
-  regexp_extract(sentence, '(?s)^(|.*?[^A-Za-z0-9_.])' || regexp_escape(name) || '([^A-Za-z0-9_]|$)', 1) as pre from s, g where sentence <> '' and instr(sentence, name) > 0),
-m as (select unit_id, sent, name, type, length(pre) + 1 as at from m0 where hit <> '')
+mc as materialized (select unit_id, sent, name, type, sentence from s, g where sentence <> '' and instr(sentence, name) > 0),
+m0 as materialized (select unit_id, sent, name, type, regexp_extract(sentence, '(?s)^(|.*?[^A-Za-z0-9_.])' || regexp_escape(name) || '([^A-Za-z0-9_]|$)', 1) as pre, regexp_matches(sentence, '(^|[^A-Za-z0-9_.])' || regexp_escape(name) || '([^A-Za-z0-9_]|$)') as alone from mc),
+m as (select unit_id, sent, name, type, length(pre) + 1 as at from m0 where alone)
 """
 
 
