@@ -187,13 +187,14 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     return sums.select((F.col("l") / total - resolution * F.col("dd") / (4.0 * total * total)).alias("modularity"))
 
 
-def _level_in_memory(adj: list, strength: list, m2: float, resolution: float, level: int, sweeps: int) -> dict[str, str]:
-    """The sweeps of `_level_by_joins` for collected rows (node, other, weight) and (node, k, hash)."""
+def _level_in_memory(adj: list, strength: list, resolution: float, level: int, sweeps: int) -> dict[str, str]:
+    """The sweeps of `_level_by_joins` for collected rows (node, other, weight) and (node, k, m2, hash)."""
     near: dict[str, list[tuple[str, float]]] = {}
     for n, o, w in adj:
         near.setdefault(n, []).append((o, w))
-    k = {n: x for n, x, _ in strength}
-    mark = {n: h for n, _, h in strength}
+    k = {n: x for n, x, _, _ in strength}
+    whole = {n: m for n, _, m, _ in strength}
+    mark = {n: h for n, _, _, h in strength}
     com = {n: n for n in k}
     for sweep in range(sweeps):
         total: dict[str, float] = {}
@@ -205,7 +206,7 @@ def _level_in_memory(adj: list, strength: list, m2: float, resolution: float, le
             for o, w in near.get(n, ()):
                 c = com[o]
                 links[c] = links.get(c, 0.0) + w
-            best = min(links, key=lambda c: (-round(links[c] - resolution * (total[c] - (k[n] if c == now else 0.0)) * k[n] / m2, 9), c != now, c))
+            best = min(links, key=lambda c: (-round(links[c] - resolution * (total[c] - (k[n] if c == now else 0.0)) * k[n] / whole[n], 9), c != now, c))
             wanted |= best != now
             if (mark[n] >> ((level * sweeps + sweep) % 61)) & 1:
                 new[n] = best
@@ -215,7 +216,7 @@ def _level_in_memory(adj: list, strength: list, m2: float, resolution: float, le
     return com
 
 
-def _level_by_joins(adj: DataFrame, strength: DataFrame, m2: float, resolution: float, level: int, sweeps: int) -> DataFrame:
+def _level_by_joins(adj: DataFrame, strength: DataFrame, resolution: float, level: int, sweeps: int) -> DataFrame:
     """Rows (node, c): in a sweep every node of one half (by a bit of its hash) moves to the neighbouring community of the greatest gain, until none wants to."""
     com = strength.select("node", F.col("node").alias("c"))
     for sweep in range(sweeps):
@@ -225,7 +226,7 @@ def _level_by_joins(adj: DataFrame, strength: DataFrame, m2: float, resolution:
         stay = now.select("node", F.col("now").alias("c"), F.lit(0.0).alias("w"))
         options = links.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(now, "node").join(totals, "c")
         rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * rest * F.col("k") / m2, 9)
+        gain = F.round(F.col("w") - resolution * rest * F.col("k") / F.col("m2"), 9)
         best = options.groupBy("node").agg(F.min_by(F.struct("c", "now", "hash"), F.struct((-gain).alias("g"), (F.col("c") != F.col("now")).alias("moves"), "c")).alias("b"))
         turn = F.shiftright("b.hash", (level * sweeps + sweep) % 61).bitwiseAND(F.lit(1)) == 1
         moved = cut(best.select("node", F.when(turn, F.col("b.c")).otherwise(F.col("b.now")).alias("c"), (F.col("b.c") != F.col("b.now")).alias("wanted")))
@@ -235,38 +236,40 @@ def _level_by_joins(adj: DataFrame, strength: DataFrame, m2: float, resolution:
     return com
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, sweeps: int = 60, small: int = SMALL) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, sweeps: int = 60, small: int = SMALL, parts: DataFrame | None = None) -> DataFrame:
     """Rows (name, community): Louvain with synchronous local moves, for graphs of any size.
 
     In a sweep every node of one half (which half, a hash and the sweep decide) may move to the neighbouring community of
     the greatest modularity gain, computed from the same state, until no node wants to move (or for `sweeps` sweeps).
     Communities are then merged into nodes and the sweeps repeat, until a level merges nothing. Ties go to the smaller
-    community; nodes without edges stay alone. Levels of up to `small` edges are computed in the driver, larger ones by
+    community; nodes without edges stay alone. With `parts` (name, part) every part is a graph of its own: its modularity
+    counts its own edges alone, and no edge may lead out of it. Levels of up to `small` edges are computed in the driver, larger ones by
     joins, with the same result.
     """
     spark = edges.sparkSession
     member = nodes.select("name", F.col("name").alias("community")).distinct()
     adj = cut(both_ways(edges.where("weight > 0 and u <> v")).groupBy("node", "other").agg(F.sum("weight").alias("weight")))
-    m2 = adj.agg(F.sum("weight")).first()[0] or 0.0
-    if not m2:
+    if adj.isEmpty():
         return member
-    own = adj.select("node").distinct().select("node", F.lit(0.0).alias("loop"))
+    own = adj.groupBy("node").agg(F.sum("weight").alias("w"))
+    own = own.withColumn("part", F.lit(0)) if parts is None else own.join(parts.select(F.col("name").alias("node"), "part"), "node")
+    own = own.join(own.groupBy("part").agg(F.sum("w").alias("m2")), "part").select("node", F.lit(0.0).alias("loop"), "m2")
     level = 0
     while True:
-        strength = cut(adj.groupBy("node").agg(F.sum("weight").alias("w")).join(own, "node", "full").select("node", (F.coalesce("w", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k"), F.xxhash64("node").alias("hash")))
+        strength = cut(own.join(adj.groupBy("node").agg(F.sum("weight").alias("w")), "node", "left").select("node", (F.coalesce("w", F.lit(0.0)) + F.col("loop")).alias("k"), "m2", F.xxhash64("node").alias("hash")))
         held = adj.limit(2 * small + 1).collect() if small else None
         if held is not None and len(held) <= 2 * small:
-            found = _level_in_memory([tuple(r) for r in held], [tuple(r) for r in strength.collect()], m2, resolution, level, sweeps)
+            found = _level_in_memory([tuple(r) for r in held], [tuple(r) for r in strength.collect()], resolution, level, sweeps)
             com = spark.createDataFrame(sorted(found.items()), "node string, c string")
         else:
-            com = _level_by_joins(adj, strength, m2, resolution, level, sweeps)
+            com = _level_by_joins(adj, strength, resolution, level, sweeps)
         if com.where("node <> c").isEmpty():
             return member
         member = cut(member.join(com.withColumnRenamed("node", "community"), "community", "left").select("name", F.coalesce("c", "community").alias("community")))
         merged = adj.join(com.withColumnRenamed("c", "cu"), "node").join(com.select(F.col("node").alias("other"), F.col("c").alias("cv")), "other").groupBy("cu", "cv").agg(F.sum("weight").alias("weight"))
-        loops = own.join(com, "node").groupBy("c").agg(F.sum("loop").alias("l0"))
+        loops = own.join(com, "node").groupBy("c").agg(F.sum("loop").alias("l0"), F.max("m2").alias("m2"))
         inner = merged.where("cu = cv").select(F.col("cu").alias("c"), "weight")
-        own = cut(loops.join(inner, "c", "left").select(F.col("c").alias("node"), (F.col("l0") + F.coalesce("weight", F.lit(0.0))).alias("loop")))
+        own = cut(loops.join(inner, "c", "left").select(F.col("c").alias("node"), (F.col("l0") + F.coalesce("weight", F.lit(0.0))).alias("loop"), "m2"))
         adj = cut(merged.where("cu <> cv").select(F.col("cu").alias("node"), F.col("cv").alias("other"), "weight"))
         level += 1
 
@@ -283,7 +286,7 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
         if todo.isEmpty():
             return out
         inner = edges.join(todo.select(F.col("name").alias("u"), F.col("community").alias("cu")), "u").join(todo.select(F.col("name").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv").drop("cu", "cv")
-        parts = communities(inner, todo.select("name")).withColumnRenamed("community", "part")
+        parts = communities(inner, todo.select("name"), parts=todo.select("name", F.col("community").alias("part"))).withColumnRenamed("community", "part")
         split = todo.join(parts, "name").withColumn("id", F.concat_ws("/", "community", "part"))
         several = split.groupBy("community").agg(F.count_distinct("part").alias("n")).where("n > 1").select("community")
         current = cut(split.join(several, "community", "left_semi").select(F.lit(level).alias("level"), F.col("id").alias("community"), F.col("community").alias("parent"), "name"))

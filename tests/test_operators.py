@@ -109,6 +109,18 @@ def test_hierarchy_partitions(spark):
         assert p is None or held[c] <= held[p]
 
 
+def test_parts_are_graphs_of_their_own(spark):
+    small = [(f"a{i}", f"a{j}", 1) for i, j in itertools.combinations(range(8), 2) if (i < 4) == (j < 4) or (i, j) == (0, 7)]
+    large = [(f"z{k}", f"z{k + 1}", 50) for k in range(40)]
+    a, z = [f"a{k}" for k in range(8)], [f"z{k}" for k in range(41)]
+    parts = spark.createDataFrame([(n, n[0]) for n in a + z], "name string, part string")
+    both = {r.name: r.community for r in walks.communities(_edges(spark, small + large), _names(spark, a + z), parts=parts).collect()}
+    alone = {r.name: r.community for r in walks.communities(_edges(spark, small), _names(spark, a)).collect()}
+    assert {n: both[n] for n in a} == alone and len({*alone.values()}) == 2
+    joined = {r.name: r.community for r in walks.communities(_edges(spark, small + large), _names(spark, a + z)).collect()}
+    assert len({joined[n] for n in a}) == 1  # as one graph the two halves are not worth telling apart
+
+
 def test_flow_prunes_hubs(spark):
     e = _edges(spark, [("h", f"s{k}", 1) for k in range(50)] + [("a", "x", 1), ("x", "h", 1)])
     flow, expanded = walks.spread_flow(e, _names(spark, ["a"]), 3, 0.8, 0.02)
