@@ -2,15 +2,16 @@
 
 import datetime as dt
 import itertools
+import json
 import random
 from xml.etree import ElementTree
 
 import pytest
 
 from loomgraph.cli import main
-from loomgraph.operators import answers, graphquery, methods, models, resolution, temporal
+from loomgraph.operators import answers, extraction, graph, graphquery, methods, models, prompts, reports, resolution, temporal
 from loomgraph.plans.pipeline import ask, build_index, evaluate
-from loomgraph.sources import files
+from loomgraph.sources import files, graphdb
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +74,7 @@ def test_model_answers(spark, index):
     got = ask(index, "Who joined Kiln Yard?", "basic", make=Echo, model="echo").first()
     assert got.answer.startswith("answer: ") and got.answer.endswith("joined Kiln Yard?")
     rule = ask(index, "Who joined Kiln Yard?", "basic", make=models.RuleModel).first()
-    assert "Ada Moss joined Kiln Yard." in rule.answer
+    assert "[Data: Sources (two-000)]" in rule.answer and rule.answer == ask(index, "Who joined Kiln Yard?", "basic").first().answer
 
 
 def test_model_extraction(spark, corpus):
@@ -112,6 +113,15 @@ def test_model_cache(spark):
     got, cache = models.complete_all(p, None, models.RuleModel, "rules")
     assert cache.count() == 2 and {r.n: r.reply for r in got.collect()} == {1: "OK", 2: "OK", 3: "OK", 4: None}
     assert models.complete_all(p, cache, models.RuleModel, "rules")[1].count() == 2
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def complete(self, prompt, task):
+            calls.add(1)
+            return prompt * 2
+
+    got, cache = models.complete_all(p, None, Counting, "counting")
+    assert got.count() == 4 and cache.count() == 2 and calls.value == 2  # both results, one call each
     with pytest.raises(ValueError):
         models.get_model("nope")
 
@@ -173,3 +183,95 @@ def test_orphan_stream(spark, tmp_path):
     rows = [(r.key, r.orphan) for r in spark.sql("select * from orphans").collect()]
     assert sorted(rows[:2]) == [("a", True), ("b", False)] and sorted(rows[2:]) == [("a", False), ("b", True)]
     assert len(list(itertools.chain(rows))) == 4
+
+
+def test_prompts(spark):
+    assert prompts.fill("{a} {b} {{x}} {a}", a="{b}", b=2, x=1) == "{b} 2 {1} {b}"
+    assert prompts.slots(prompts.ANSWER) == ["form", "context", "question"]
+    with pytest.raises(KeyError):
+        prompts.fill("{a}")
+    d = spark.createDataFrame([("q",), (None,)], "t string")
+    assert [r[0] for r in d.select(prompts.fill_column("<{t}|{n}>", t=d.t, n="7")).collect()] == ["<q|7>", "<|7>"]
+
+
+def test_mention_places(spark):
+    names = {"Keel": "PROJECT", "Keel Yard": "ORGANIZATION", "Weir": "ORGANIZATION"}
+    text = "Keelhauled by KEEL and Keel Yard, x.Keel; Dr. Ona Pill of Old Reef met Weir."
+    want = [(15, "Keel", "PROJECT"), (24, "Keel Yard", "ORGANIZATION"), (43, "Dr. Ona Pill", "PERSON"), (59, "Old Reef", "LOCATION"), (72, "Weir", "ORGANIZATION")]
+    assert extraction.mentions_in(text, names) == want
+    sents = spark.createDataFrame([("u", 0, text), ("u", 1, "nothing here"), ("v", 0, "")], "unit_id string, sent int, sentence string")
+    gaz = spark.createDataFrame([*names.items(), (None, "X")], "name string, type string")
+    assert sorted((r.at, r.name, r.type) for r in extraction.find_mentions(sents, gaz).collect()) == want
+    assert extraction.find_mentions(sents.limit(0), gaz).count() == 0
+
+
+def test_descriptions_and_summaries(spark):
+    m = spark.createDataFrame([(1, "b", "P", "Two. One.", "u1"), (2, " B ", "P", "One. three words here.", "u2"), (3, "B", None, None, None), (4, "c", "P", "Alone.", "u1"), (5, None, "P", "x", "u1"), (6, "d", "P", "w " * 40, "u3"), (7, "d", "P", "v " * 40, "u3")], "seq bigint, name string, type string, description string, unit_id string")
+    d = graph.node_descriptions(m)
+    assert {(r.name, r.description, r.first_seq) for r in d.where("name <> 'D'").collect()} == {("B", "Two. One.", 1), ("B", "One. three words here.", 2), ("C", "Alone.", 4)}
+    got = {r.name: r.description for r in graph.summarized(d, ["name"], 8).collect()}
+    assert got["B"] == "One. three words here. Two." and got["C"] == "Alone." and got["D"] == ("v " * 40 + " " + "w " * 40)[:500].strip() or got["D"].startswith("v v")
+    assert {(r.name, r.unit_id) for r in graph.node_sources(m).collect()} == {("B", "u1"), ("B", "u2"), ("C", "u1"), ("D", "u3")}
+    a = spark.createDataFrame([("C", "B"), ("B", "B")], "alias string, canonical string")
+    assert [(r.name, r.alias) for r in graph.node_aliases(m, a).collect()] == [("B", "C")]
+
+
+def test_linearised(spark):
+    n = spark.createDataFrame([("A", "P", "a|b"), ("B", "O", None), ("C", "O", "c")], "name string, type string, description string")
+    e = spark.createDataFrame([("A", "B", "x y", 2.0), ("B", "C", "z", 1.0)], "u string, v string, description string, weight double")
+    sel = spark.createDataFrame([("q", "A"), ("q", "B"), ("r", "C"), ("r", "gone")], "query_id string, name string")
+    lines = {(r.query_id, r.line) for r in graph.markdown_tables(n, e, sel).collect()}
+    assert lines == {("q", "| A | P | a/b |"), ("q", "| B | O |  |"), ("q", "| A | B | x y | 2.0 |"), ("r", "| C | O | c |")}
+    got = {r.query_id: json.loads(r.graph) for r in graph.node_link(n, e, sel).collect()}
+    assert [x["id"] for x in got["q"]["nodes"]] == ["A", "B"] and got["q"]["links"] == [{"source": "A", "target": "B", "description": "x y", "weight": 2.0}] and got["r"]["links"] == []
+
+
+def test_statements_are_sent_nodes_first(spark, tmp_path):
+    class Session:
+        def __init__(self, path):
+            self.path, self.sent = path, []
+
+        def run(self, statement):
+            self.sent.append(statement)
+
+        def close(self):
+            with open(self.path, "a") as f:
+                f.writelines(s + "\n" for s in self.sent)
+
+    path = str(tmp_path / "sent")
+    rows = spark.createDataFrame([("edge", "e1"), ("node", "n1"), ("node", "n2")], "kind string, statement string").coalesce(1)
+    graphdb.write_statements(rows, lambda: Session(path), 1)
+    assert open(path).read().split() == ["n1", "n2", "e1"]
+    with pytest.raises(ModuleNotFoundError):
+        graphdb.open_session("bolt://nowhere", "u", "p")
+
+
+def test_timeline(spark):
+    t = temporal.sample_timeline(spark)
+    at = lambda relation, day, known=None: [r.source for r in temporal.holders(t, day, known).where(f"relation = '{relation}' and target = 'Weir Works'").collect()]
+    assert at("CTO_OF", "2020-01-01") == ["Tam Brandt"] and at("CTO_OF", "2024-01-01") == ["Iris Okonedo"] and at("CEO_OF", "2025-01-01") == ["Iris Okonedo"]
+    assert at("CTO_OF", "2023-06-01", "2023-04-10") == ["Tam Brandt"] and at("SUPPLIED", "2024-06-01") == []
+
+
+def test_resolution_in_parts_equals_one_pass(spark):
+    rng = random.Random(11)
+    words = ["ADA", "MOSS", "WEIR", "WORKS", "KILN", "YARD", "LOW", "REEF", "MARA", "LEE"]
+    names = {" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(40)} | {"WW", "LR", "KY", "WEIR WORKZ", "MOSSS"}
+    rows = [(n, rng.choice(["PERSON", "ORG", None])) for n in sorted(names)]
+    kind = {n: t or "" for n, t in rows}
+    want = resolution.resolve([(n, n, kind[n]) for n in sorted(names)])
+    got = {r.alias: r.canonical for r in resolution.resolve_entities(spark.createDataFrame(rows, "name string, type string")).collect()}
+    assert got == want
+    assert resolution.resolve_entities(spark.createDataFrame([], "name string, type string")).count() == 0
+
+
+def test_reports_bottom_up(spark):
+    n = spark.createDataFrame([(f"N{k}", "P", f"About {k}." + " word" * 30, 2, k) for k in range(6)], "name string, type string, description string, degree bigint, human_id bigint")
+    e = spark.createDataFrame([(f"N{a}", f"N{b}", f"link {a} {b}", 4, a) for a, b in ((0, 1), (1, 2), (3, 4), (4, 5), (2, 3))], "u string, v string, description string, combined_degree bigint, human_id bigint")
+    levels = spark.createDataFrame([(0, "top", None, f"N{k}") for k in range(6)] + [(1, "top/a" if k < 3 else "top/b", "top", f"N{k}") for k in range(6)] + [(1, "lone", None, "X")], "level int, community string, parent string, name string")
+    small = {r.id: r for r in reports.all_reports(n, e, levels, 120).collect()}
+    assert set(small) == {"top", "top/a", "top/b"} and small["top/a"].title == "N0" and small["top"].title.startswith("N")
+    assert any(f.summary.startswith("N") and "[Data: Relationships" not in f.explanation for f in small["top"].findings)  # a child's report stands in
+    large = {r.id: r for r in reports.all_reports(n, e, levels, 4000).collect()}
+    assert len(large["top"].findings) == 5 and large["top"].rating == 4.5 and large["top"].content.startswith("# N0 and N1\n\nThis community centres on N0, N1, N2. About 0.")
+    assert reports.all_reports(n, e, levels.limit(0), 100).count() == 0
