@@ -320,20 +320,32 @@ def _around(edges: DataFrame, prizes: DataFrame, hops: int) -> list:
     return held
 
 
-def _cheapest(graph: dict[str, dict[str, float]], tree: set[str]) -> dict[str, list[str]]:
-    """For every node that can be reached, the cheapest path to it from the tree; ties go to the path found first, in the order of names."""
+def _cheapest(graph: dict[str, dict[str, float]], tree: set[str], goals: set[str]) -> dict[str, list[str]]:
+    """The cheapest path from the tree to each of the goals that can be reached, and no further; ties go to the order of names."""
     import heapq
 
-    path: dict[str, list[str]] = {}
-    heap: list[tuple[float, str, list[str]]] = [(0.0, n, [n]) for n in sorted(tree)]
-    while heap:
-        d, n, way = heapq.heappop(heap)
-        if n not in path:
-            path[n] = way
-            for o, w in graph.get(n, {}).items():
-                if o not in path:
-                    heapq.heappush(heap, (d + w, o, [*way, o]))
-    return path
+    before: dict[str, str | None] = {}
+    best: dict[str, float] = dict.fromkeys(tree, 0.0)
+    heap: list[tuple[float, str, str]] = [(0.0, n, "") for n in sorted(tree)]
+    left = set(goals)
+    while heap and left:
+        d, n, came = heapq.heappop(heap)
+        if n in before:
+            continue
+        before[n] = came or None
+        left.discard(n)
+        for o, w in graph.get(n, {}).items():
+            if o not in before and d + w <= best.get(o, float("inf")):
+                best[o] = d + w
+                heapq.heappush(heap, (d + w, o, n))
+    paths = {}
+    for g in goals & before.keys():
+        way, at = [], g
+        while at is not None:
+            way.append(at)
+            at = before[at]
+        paths[g] = way[::-1]
+    return paths
 
 
 def greedy_tree(graph: dict[str, dict[str, float]], worth: dict[str, float], edge_cost: float = 1.0, most_nodes: int = 20) -> tuple[list[str], list[tuple[str, str]]]:
@@ -348,8 +360,8 @@ def greedy_tree(graph: dict[str, dict[str, float]], worth: dict[str, float], edg
     tree, kept = {max(prize, key=lambda n: (prize[n], n))}, set()
     while len(tree) < most_nodes:
         offers = []
-        for n, way in _cheapest(graph, tree).items():
-            if n in prize and n not in tree and len(tree) + len(way) - 1 <= most_nodes:
+        for way in _cheapest(graph, tree, prize.keys() - tree).values():
+            if len(tree) + len(way) - 1 <= most_nodes:
                 offers.append((sum(prize.get(x, 0.0) for x in way[1:]) - edge_cost * (len(way) - 1), way))
         gain, way = max(offers, key=lambda x: (x[0], [-ord(c) for c in x[1][-1]]), default=(0.0, []))
         if gain <= 0:
