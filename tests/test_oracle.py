@@ -7,7 +7,7 @@ import pytest
 from oracle import compare, connect
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [importlib.import_module(f"loomgraph.plans.{m}") for m in ("general", "texts", "graphs")]
+MODULES = [importlib.import_module(f"loomgraph.plans.{m}") for m in ("general", "texts", "graphs", "searches")]
 CASES = {n: (m.queries()[n], sql) for m in MODULES for n, sql in m.oracles().items()}
 
 
