@@ -57,6 +57,8 @@ _NEAR |= {frozenset((a, b)) for up, low in zip(_ROWS, _ROWS[1:]) for k, b in enu
 
 #: Words beside fewer different rarer words are no qualifiers; at least this share of all names, which bounds the lexicon.
 LEAST_BESIDE, SHARE = 5, 1 / 100_000
+#: How many times rarer than its neighbour a word must be to count as a typing error of it.
+RARER = 8
 #: Ranks from here on are those of full readings.
 FULL = 500.0
 #: Typing errors may cost up to so much.
@@ -103,12 +105,14 @@ class Lexicon:
             n = {w: k for w, k, _ in rows}
             self.place_of[kind] = side
             long = {w: [b for b in side if side[b] == side[w] and n[b] > 2 * n[w] and shortens(w, b)] for w in side if len(w) <= 6}
-            whole = {w for w in side if not long.get(w)}
-            self.full[kind] = {w: self._options(w, long[w], whole) if long.get(w) else w for w in side}
+            slips = self._slips(n)
+            whole = {w for w in side if not long.get(w) and w not in slips}
+            self.full[kind] = {w: slips[w] if w in slips else self._options(w, long[w], whole) if long.get(w) else w for w in side}
         self.whole = {k: {w for w in f if f[w] == w} for k, f in self.full.items()}
         self.given = given
         # names by position: the usual given names, which rare words are compared with
-        self.usual = {w for w, (g, s) in given.items() if g >= 4 and g > 2 * s}
+        self.slips = self._slips({w: g for w, (g, s) in given.items()})
+        self.usual = {w for w, (g, s) in given.items() if g >= 4 and g > 2 * s and w not in self.slips}
         self.near = {k: self._index(ws) for k, ws in [*self.whole.items(), ("person", self.usual)]}
         self._known: dict[tuple[str, str], str] = {}
 
@@ -118,6 +122,18 @@ class Lexicon:
         long = [b for b in long if b in whole] or long
         return " ".join(sorted([b for b in long if b.startswith(w)] or long))
 
+    @classmethod
+    def _slips(cls, n: dict[str, int]) -> dict[str, str]:
+        """Words that are typing errors of a far more frequent one: in a large corpus the same slip is made often enough to look like a word."""
+        index = cls._index(set(n))
+        out = {}
+        for w in n:
+            if len(w) >= 5:
+                near = {b for d in (w, *(w[:k] + w[k + 1 :] for k in range(len(w)))) for b in index.get(d, ()) if n[b] >= RARER * n[w] and b[0] in w[:2] and one_edit(w, b)}
+                if near:
+                    out[w] = max(near, key=lambda b: (n[b], b))
+        return {w: out.get(b, b) for w, b in out.items()}
+
     @staticmethod
     def _index(words: set[str]) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
@@ -167,6 +183,8 @@ class Lexicon:
     def given_name(self, t: str) -> str:
         if t in NICKNAMES:
             return NICKNAMES[t]
+        if t in self.slips:
+            return self.slips[t]
         g, s = self.given.get(t, (0, 0))
         return t if g > 3 else self.near_word("person", t) or t
 
