@@ -107,6 +107,12 @@ class Lexicon:
             long = {w: [b for b in side if side[b] == side[w] and n[b] > 2 * n[w] and shortens(w, b)] for w in side if len(w) <= 6}
             slips = self._slips(n)
             whole = {w for w in side if not long.get(w) and w not in slips}
+            if kind == "org":  # two letters that begin a first and a second qualifier are the initials of both
+                heads = {(side[w], w[0]) for w in whole if len(w) > 2}
+                initials = {w for w in side if len(w) == 2 and ("first", w[0]) in heads and ("second", w[1]) in heads}
+                side = {w: x for w, x in side.items() if w not in initials}
+                whole -= initials
+                self.place_of[kind] = side
             self.full[kind] = {w: slips[w] if w in slips else self._options(w, long[w], whole) if long.get(w) else w for w in side}
         self.whole = {k: {w for w in f if f[w] == w} for k, f in self.full.items()}
         self.given = given
