@@ -54,3 +54,38 @@ def test_subgraph_of_many_edges(spark):
     e = spark.range(200_001).select(F.lit("a").alias("u"), F.format_string("n%06d", "id").alias("v"), F.lit(1.0).alias("weight"))
     nodes, kept = walks.collect_subgraph(e, spark.createDataFrame([("n000001", 5.0), ("n200000", 5.0)], "name string, prize double"))
     assert nodes == ["a", "n000001", "n200000"] and kept == [("a", "n000001"), ("a", "n200000")]
+
+
+def _graph(spark, n=40, seed=5):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(n - 2), 2))) for _ in range(3 * n)}
+    e = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", float(rng.randint(1, 5))) for a, b in sorted(pairs)], "u string, v string, weight double")
+    return e, spark.createDataFrame([(f"n{k:02d}",) for k in range(n)], "name string")
+
+
+def _asked(spark):
+    q = spark.createDataFrame([(k,) for k in range(70)], "query_id int")
+    return q, q.where("query_id > 2").select("query_id", F.format_string("n%02d", F.col("query_id") % 40).alias("name"), F.lit(1.0).alias("weight"))
+
+
+def test_rounds_write_no_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(walks, "cut", lambda df, real=walks.cut: written.append(1) or real(df))
+    e, n = _graph(spark)
+    p = walks.pagerank_batch(e, n, *_asked(spark), tol=0.0)
+    sums = {r.query_id: r.s for r in p.groupBy("query_id").agg(F.sum("p").alias("s")).collect()}
+    assert sorted(sums) == list(range(70)) and all(abs(s - 1) < 1e-9 for s in sums.values())
+    assert len(written) <= 2
+
+
+def test_passages_are_sums_of_their_nodes(spark):
+    e, n = _graph(spark)
+    members = spark.createDataFrame([(f"n{k:02d}", u) for k in range(40) for u in (k % 7, 10 + k % 11)] + [("gone", 99), ("n00", 0)], "name string, unit_id int")
+    p = walks.pagerank_batch(e, n, *_asked(spark))
+    want = {(r.query_id, r.unit_id): r.s for r in p.join(members.distinct(), "name").groupBy("query_id", "unit_id").agg(F.sum("p").alias("s")).collect()}
+    got = {(r.query_id, r.unit_id): r.score for r in walks.passage_scores(e, n, *_asked(spark), members).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    best = {(r.query_id, r.unit_id) for r in walks.passage_scores(e, n, *_asked(spark), members, 3).collect()}
+    for q in range(70):
+        top = sorted((s for (k, _), s in want.items() if k == q), reverse=True)
+        assert {u for k, u in best if k == q} == {u for (k, u), s in want.items() if k == q and s >= top[:3][-1] - 1e-9}
