@@ -99,3 +99,14 @@ def test_communities_of_many_edges_without_joins(spark, monkeypatch):
     got = walks.communities(e, e.select(F.col("u").alias("name")).union(e.select("v")))
     r = got.groupBy("community").agg(F.count_distinct(F.substring("name", 1, 4)).alias("blocks"), F.count(F.lit(1)).alias("n")).agg(F.max("blocks"), F.min("n"), F.count(F.lit(1))).first()
     assert tuple(r) == (1, 20, 640)
+
+
+def test_hashed_hits_are_those_of_the_join(spark):
+    from loomgraph.operators import ranking, search
+
+    rng = random.Random(8)
+    rows = lambda n: spark.createDataFrame([(k, b, rng.choice([-1.0, 1.0, 0.5])) for k in range(n) for b in rng.sample(range(512), rng.randint(1, 4) if k % 2 else 30)], "id int, bucket int, value double")
+    d, q = rows(60), rows(25)
+    s = d.join(q.select(F.col("id").alias("query_id"), "bucket", F.col("value").alias("w")), "bucket").groupBy("query_id", "id").agg(F.round(F.sum(F.col("value") * F.col("w")), 6).alias("score"))
+    want = {tuple(r) for r in ranking.best_of(s, ["query_id"], [F.desc("score"), F.col("id")], 20).select("query_id", "id", "score", "rank").collect()}
+    assert {tuple(r) for r in search.hashed_top_k(q, d, 20).select("query_id", "id", "score", "rank").collect()} == want
