@@ -275,3 +275,26 @@ def test_reports_bottom_up(spark):
     large = {r.id: r for r in reports.all_reports(n, e, levels, 4000).collect()}
     assert len(large["top"].findings) == 5 and large["top"].rating == 4.5 and large["top"].content.startswith("# N0 and N1\n\nThis community centres on N0, N1, N2. About 0.")
     assert reports.all_reports(n, e, levels.limit(0), 100).count() == 0
+
+
+def test_sources_of_a_global_search(spark):
+    # two questions without a report, one with reports that share documents, one with a report that has none
+    members = spark.createDataFrame([(0, f"c{k % 40}", None, f"n{k}") for k in range(400)] + [(0, "bare", None, "x")], "level int, community string, parent string, name string")
+    units = spark.createDataFrame([(f"n{k}", f"u{(7 * k + j) % 900}") for k in range(400) for j in range(3)], "name string, unit_id string")
+    texts = spark.createDataFrame([(f"u{k}", k % 300 if k % 11 else None, "t") for k in range(900)], "unit_id string, doc_id bigint, text string")
+    index = files.Index(files.IndexConfig(), {"communities": members, "entity_units": units, "text_units": texts})
+    chosen = spark.createDataFrame([("b", "c1"), ("b", "c2"), ("b", "c2"), ("b", "unknown"), *[("c", f"c{k}") for k in range(40)], ("d", "bare")], "query_id string, id string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)], "query_id string, x int")
+    got = {r.query_id: (r.x, r.sources) for r in methods.with_sources(index, rows, chosen).collect()}
+    want = {r.query_id: r.sources for r in methods._report_sources(index, chosen).collect()}
+    assert got == {r.query_id: (r.x, want.get(r.query_id, [])) for r in rows.collect()} and len(got["c"][1]) > len(got["b"][1]) > 0
+    plan = methods.with_sources(index, rows, chosen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # nothing grows as questions times nodes
+
+
+def test_points_of_rows_that_share_an_id(spark):
+    q = spark.createDataFrame([("q", "Who leads the river survey?"), ("q", "Main river themes?"), ("n", None)], "query_id string, text string")
+    r = spark.createDataFrame([("r1", "The river survey is led by Ada."), ("r2", "River. River. Survey."), ("r3", "Nothing here.")], "id string, content string")
+    got = sorted((x.query_id, x.id, x.score, x.content) for x in answers.map_points(q, r, 20).collect())
+    a, b, c = (x.content for x in r.orderBy("id").collect())
+    assert got == sorted([("q", "r1", 50, a), ("q", "r2", 50, b), ("q", "r1", 50, a), ("q", "r2", 50, b), ("q", "r3", 40, c)])
