@@ -24,3 +24,7 @@ def ids():
 def test_hybrid_retrieval(spark, ids):
     found = _asked(graphs.hybrid_retrieval(spark, ROOT))
     assert found <= ids and len(found) > 0.9 * len(ids)
+
+
+def test_passage_rank(spark, ids):
+    assert len(_asked(graphs.passage_rank(spark, ROOT)) & ids) > 0.9 * len(ids)
