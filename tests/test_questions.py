@@ -28,3 +28,7 @@ def test_hybrid_retrieval(spark, ids):
 
 def test_passage_rank(spark, ids):
     assert len(_asked(graphs.passage_rank(spark, ROOT)) & ids) > 0.9 * len(ids)
+
+
+def test_ppr(spark, ids):
+    assert len(_asked(graphs.ppr(spark, ROOT)) & ids) > 0.9 * len(ids)
