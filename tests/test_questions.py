@@ -32,3 +32,7 @@ def test_passage_rank(spark, ids):
 
 def test_ppr(spark, ids):
     assert len(_asked(graphs.ppr(spark, ROOT)) & ids) > 0.9 * len(ids)
+
+
+def test_pcst_subgraph(spark, ids):
+    assert len(_asked(graphs.pcst_subgraph(spark, ROOT)) & ids) > 0.5 * len(ids)
