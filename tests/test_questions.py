@@ -5,7 +5,7 @@ import os
 import pytest
 from oracle import connect
 
-from loomgraph.plans import graphs
+from loomgraph.plans import graphs, searches
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,3 +36,8 @@ def test_ppr(spark, ids):
 
 def test_pcst_subgraph(spark, ids):
     assert len(_asked(graphs.pcst_subgraph(spark, ROOT)) & ids) > 0.5 * len(ids)
+
+
+@pytest.mark.parametrize("method", ["subgraph"])
+def test_search(spark, ids, method):
+    assert _asked(searches.queries()[f"search_{method}"](spark, ROOT)) == ids
