@@ -38,6 +38,6 @@ def test_pcst_subgraph(spark, ids):
     assert len(_asked(graphs.pcst_subgraph(spark, ROOT)) & ids) > 0.5 * len(ids)
 
 
-@pytest.mark.parametrize("method", ["subgraph", "ppr"])
+@pytest.mark.parametrize("method", ["subgraph", "ppr", "global"])
 def test_search(spark, ids, method):
     assert _asked(searches.queries()[f"search_{method}"](spark, ROOT)) == ids
